@@ -13,13 +13,14 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as tx
 from topicloom.functions.vectors import normalise
+from topicloom.operators.ordering import running_number
 
 BITS_PER_WORD = 32
 MAX_DIMS = 128  # bits of an MD5 hash
@@ -91,8 +92,6 @@ def rank_weights(df: DataFrame, text: str = "text", scheme: str = "idf") -> Data
         n = df.agg(F.count(F.lit(1))).scalar()
         return seen.withColumn("n", n).select("token", F.log(F.col("n") / F.col("df")).alias("weight"))
     if scheme == "zipf":
-        from topicloom.operators.ordering import running_number
-
         words = df.select(F.explode_outer(tx.tokens(F.col(text))).alias("token"))
         counts = words.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         ranked = running_number(counts, [-F.col("n"), F.col("token")], "rank")
@@ -150,8 +149,6 @@ def embed_token_table(
     counted = words.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     found = counted.join(table.select("token", F.col("vector")), "token", "left")
     known = found.where(F.col("vector").isNotNull())
-    from pyspark.ml.functions import array_to_vector
-
     means = known.groupBy(key).agg(
         Summarizer.mean(array_to_vector("vector"), F.col("n").cast("double")).alias("m")
     )

@@ -117,7 +117,7 @@ def class_tfidf(
     boost: Iterable[str] = (),
     boost_factor: float = 1.2,
 ) -> DataFrame:
-    """topic, term, tf, score.
+    """topic, term, tf, weight, score; ``weight`` belongs to the term, score = share of tf x weight.
 
     tf is divided by the topic's total; the weight of a term falls with its total
     over all topics, compared with the average topic length.  Terms in ``boost``
@@ -144,7 +144,7 @@ def class_tfidf(
         counts.join(totals, "term")
         .join(sizes, "topic")
         .withColumn("a", average.cast("double"))
-        .select("topic", "term", "tf", (share * weight).alias("score"))
+        .select("topic", "term", "tf", weight.alias("weight"), (share * weight).alias("score"))
     )
 
 

@@ -19,9 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.functions.vectors import normalise
 from topicloom.session import cut_lineage
 
 BLOCK_ROWS = 4096
@@ -113,8 +116,14 @@ def build_cells(points: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int
     return Cells(split.select("key", "vec", "cell", "block", home.alias("home")), pivots, radii, counts, key_type)
 
 
-def visits(cells: Cells, queries: DataFrame, block_rows: int = BLOCK_ROWS, n_probe: int | None = None) -> DataFrame:
-    """``queries`` (key, vec, home, bound, ...) x the blocks they have to visit, own block excluded.
+def visits(
+    cells: Cells,
+    queries: DataFrame,
+    block_rows: int = BLOCK_ROWS,
+    n_probe: int | None = None,
+    include_home: bool = False,
+) -> DataFrame:
+    """``queries`` (key, vec, home, bound, ...) x the blocks they have to visit.
 
     A cell is visited if its nearest possible vector is within ``bound``.
     ``n_probe`` visits only that many nearest cells instead (approximate).
@@ -140,7 +149,7 @@ def visits(cells: Cells, queries: DataFrame, block_rows: int = BLOCK_ROWS, n_pro
                 ids = [
                     (int(c) << 32) + block for c in np.nonzero(open_[i])[0] for block in range(int(n_blocks[c]))
                 ]
-                targets.append([t for t in ids if t != home])
+                targets.append(ids if include_home else [t for t in ids if t != home])
             yield b.assign(targets=targets)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
@@ -285,9 +294,12 @@ def score_all(
     target_key: str,
     target_vector: str,
     block_rows: int = BLOCK_ROWS,
+    shares: bool = False,
 ) -> DataFrame:
     """key, target key, similarity: cosine of every row with every target.
 
+    With ``shares`` the result is (1 + cosine), divided by its sum over all targets.
+
     The whole table of scores is the result.  Targets that fit one block are
     shipped with the task and nothing is shuffled; more targets are packed in
     blocks of bounded size, and rows meet each block in a join on (row block, target block).
@@ -298,16 +310,24 @@ def score_all(
     target_type = right.schema["target"].dataType.simpleString()
     schema = f"key {key_type}, target {target_type}, similarity double"
 
+    n = right.count()
+    if shares:
+        # the sum over targets is one product with the sum of the unit targets
+        unit = right.select(array_to_vector(normalise(F.col("tvec"))).alias("u"))
+        total = unit.agg(Summarizer.sum(F.col("u"))).first()[0].toArray()
+
     def scores(keys, vecs, t_keys, t_vecs):
         a, b = matrix(vecs), t_vecs
         lengths = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
         with np.errstate(invalid="ignore", divide="ignore"):
             s = np.where(lengths > 0, (a @ b.T) / lengths, 0.0)
+        if shares:
+            own = np.linalg.norm(a, axis=1)
+            s = (1.0 + s) / (n + (a @ total) / np.where(own > 0, own, 1.0))[:, None]
         return pd.DataFrame(
             {"key": np.repeat(keys.to_numpy(), len(t_keys)), "target": np.tile(t_keys, len(a)), "similarity": s.ravel()}
         )
 
-    n = right.count()
     if n <= block_rows:
         rows = right.orderBy("target").collect()
         t_keys = np.array([r.target for r in rows])
