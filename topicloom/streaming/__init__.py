@@ -1,0 +1,11 @@
+"""Streaming use.
+
+There is no streaming operator of its own.  These are row maps with fixed
+parameters, so they take a DataFrame from ``readStream`` as well as a static one.
+"""
+
+from topicloom.functions.text import clean_text
+from topicloom.operators.language import detect_language
+from topicloom.operators.prepare import filter_language, segment_posts
+
+__all__ = ["clean_text", "detect_language", "filter_language", "segment_posts"]
