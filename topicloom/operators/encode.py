@@ -149,12 +149,11 @@ def embed_token_table(
     counted = words.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     found = counted.join(table.select("token", F.col("vector")), "token", "left")
     known = found.where(F.col("vector").isNotNull())
-    means = known.groupBy(key).agg(
-        Summarizer.mean(array_to_vector("vector"), F.col("n").cast("double")).alias("m")
-    )
+    mean = Summarizer.mean(array_to_vector("vector"), F.col("n").cast("double"))
+    means = known.groupBy(key).agg(vector_to_array(mean).alias("m"))
     zero = F.array_repeat(F.lit(0.0), dims)
     return (
         df.select(key)
         .join(means, key, "left")
-        .select(key, F.coalesce(vector_to_array("m"), zero).alias("embedding"))
+        .select(key, F.coalesce("m", zero).alias("embedding"))
     )

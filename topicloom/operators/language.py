@@ -82,6 +82,7 @@ def detect_language(
     best = F.array_max("_scores")
     rivals = F.size(F.filter("_scores", lambda s: s >= F.array_max("_scores") - TIE))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("_scores", best).cast("int"))
-    return ranked.withColumn(
-        "language", F.when(rivals == 1, name).otherwise(F.lit(UNKNOWN_LANGUAGE))
-    ).drop("_scores")
+    language = F.when(rivals == 1, name).otherwise(F.lit(UNKNOWN_LANGUAGE))
+    # explode() of one value keeps a filter on the result from being moved below the
+    # model, where it would score every text a second time
+    return ranked.select(*kept, F.explode(F.array(language)).alias("language"))

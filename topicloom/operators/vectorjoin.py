@@ -30,18 +30,26 @@ from topicloom.session import cut_lineage
 BLOCK_ROWS = 4096
 # Pivots are shipped to the executors, so their number is bounded.
 MAX_PIVOTS = 4096
-# Distances are compared with this slack, so rounding never prunes a neighbour.
-SLACK = 1e-9
+# Queries compared with a block at a time.
+QUERY_ROWS = 256
+# Bounds are compared with this relative slack, so rounding never prunes a neighbour.
+SLACK = 1e-6
 
 
 def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared Euclidean distances by matrix product, and a bound of their rounding error."""
+    a2, b2 = (a * a).sum(1), (b * b).sum(1)
+    scale = float(a2.max(initial=0.0) + b2.max(initial=0.0))
+    return np.maximum(a2[:, None] + b2[None, :] - 2.0 * (a @ b.T), 0.0), 1e-13 * scale
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances by matrix product; good for pruning, not for output."""
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(squares, 0.0))
+    return np.sqrt(squares(a, b)[0])
 
 
 def exact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,11 +63,21 @@ def nearest(queries, q_keys, points, p_keys, k):
 
     Returns flat arrays: query position, point position, distance.
     """
-    rough = distances(queries, points)
+    parts = [
+        _nearest(queries[i : i + QUERY_ROWS], q_keys[i : i + QUERY_ROWS], points, p_keys, k, i)
+        for i in range(0, len(queries), QUERY_ROWS)
+    ]
+    if not parts:
+        return np.array([], int), np.array([], int), np.array([])
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _nearest(queries, q_keys, points, p_keys, k, offset):
+    rough, error = squares(queries, points)
     # keep everything that rounding could put among the k best, the query itself included
     take = min(k + 1, points.shape[0])
     limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-    qi, pi = np.nonzero(rough <= (limit + 1e-6)[:, None])
+    qi, pi = np.nonzero(rough <= (limit + error)[:, None])
     keep = q_keys[qi] != p_keys[pi]
     qi, pi = qi[keep], pi[keep]
     d = exact_distance(queries[qi], points[pi])
@@ -67,7 +85,7 @@ def nearest(queries, q_keys, points, p_keys, k):
     qi, pi, d = qi[order], pi[order], d[order]
     first = np.searchsorted(qi, np.arange(queries.shape[0]))
     best = np.arange(len(qi)) - first[qi] < k
-    return qi[best], pi[best], d[best]
+    return qi[best] + offset, pi[best], d[best]
 
 
 @dataclass
@@ -138,7 +156,7 @@ def visits(
             d = distances(matrix(b["vec"]), pivots)
             low = np.maximum(d - radii[None, :], 0.0)
             if n_probe is None:
-                open_ = low <= b["bound"].to_numpy()[:, None] + 1e-6
+                open_ = low <= b["bound"].to_numpy()[:, None] + SLACK * (1 + d)
             else:
                 order = d.argsort(1, kind="stable")[:, :n_probe]
                 open_ = np.zeros_like(d, dtype=bool)
@@ -184,6 +202,7 @@ def knn_join(
     """key, rank (1..k), neighbor, distance: the k nearest other rows, equal distances by key.
 
     Exact unless ``n_probe`` is given.  ``distance`` is Euclidean, or 1 - cosine.
+    Rows that fit one block are compared in one task.
     """
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"Unknown metric: {metric!r}")
@@ -195,13 +214,14 @@ def knn_join(
         rows = rows.select("key", "vec", unit_with_flag("vec").alias("unit")).select("key", F.col("unit").alias("vec"))
     key_type = rows.schema["key"].dataType.simpleString()
     rows = cut_lineage(rows)
-
-    groups = _group_copies(rows)
-    n_rows, n_groups = rows.count(), groups.count()
-    distinct = groups.select(F.col("rep").alias("key"), "vec")
-    found = _knn_distinct(distinct, k, block_rows, n_probe, key_type)
-    if n_groups < n_rows:
-        found = _expand_copies(rows, groups, found, k)
+    n_rows = rows.count()
+    if n_rows <= block_rows:
+        found = _best_k(rows.groupBy(F.lit(0).alias("all")).applyInPandas(*_inside(k, key_type)), k)
+    else:
+        groups = _group_copies(rows)
+        found = _knn_distinct(groups.select(F.col("rep").alias("key"), "vec"), k, block_rows, n_probe, key_type)
+        if groups.count() < n_rows:
+            found = _expand_copies(rows, groups, found, k)
     if metric == "cosine":
         found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
     return found.select(F.col("key").alias(key), "rank", "neighbor", "distance")
@@ -221,15 +241,20 @@ def _best_k(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _knn_distinct(distinct: DataFrame, k: int, block_rows: int, n_probe: int | None, key_type: str) -> DataFrame:
-    cells = build_cells(distinct, block_rows)
-    hit = f"key {key_type}, neighbor {key_type}, distance double"
+def _inside(k: int, key_type: str):
+    """A task function for the k nearest inside one block, and its schema."""
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         v, keys = matrix(pdf["vec"]), pdf["key"].to_numpy()
         qi, pi, d = nearest(v, keys, v, keys, k)
         return pd.DataFrame({"key": keys[qi], "neighbor": keys[pi], "distance": d})
 
+    return inside, f"key {key_type}, neighbor {key_type}, distance double"
+
+
+def _knn_distinct(distinct: DataFrame, k: int, block_rows: int, n_probe: int | None, key_type: str) -> DataFrame:
+    cells = build_cells(distinct, block_rows)
+    inside, hit = _inside(k, key_type)
     local = cells.points.groupBy("home").applyInPandas(inside, hit)
     if len(cells.pivots) == 1 and cells.counts[0] <= block_rows:
         return _best_k(local, k)
@@ -249,7 +274,7 @@ def _knn_distinct(distinct: DataFrame, k: int, block_rows: int, n_probe: int | N
             return pd.DataFrame({"key": [], "neighbor": [], "distance": []})
         q_keys, p_keys = left["key"].to_numpy(), right["key"].to_numpy()
         qi, pi, d = nearest(matrix(left["vec"]), q_keys, matrix(right["vec"]), p_keys, k)
-        useful = d <= left["bound"].to_numpy()[qi] + SLACK
+        useful = d <= left["bound"].to_numpy()[qi] * (1 + SLACK)
         return pd.DataFrame({"key": q_keys[qi], "neighbor": p_keys[pi], "distance": d})[useful]
 
     other = visit_blocks(cells, asked, cells.points.select("key", "vec", "home"), across, hit)

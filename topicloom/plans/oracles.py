@@ -131,7 +131,7 @@ def similar(n: int) -> str:
         "cen AS (SELECT topic, dim, avg(value) AS value FROM emb GROUP BY topic, dim), "
         "sims AS (SELECT topic, sum(cen.value * ph.value) / (sqrt(sum(cen.value ^ 2)) * sqrt(sum(ph.value ^ 2))) AS similarity "
         "FROM cen JOIN ph USING (dim) GROUP BY topic), "
-        f"similar AS (SELECT topic, similarity, CAST(row_number() OVER (ORDER BY similarity DESC, topic) AS INTEGER) AS rank FROM sims QUALIFY rank <= {n})"
+        f"best_topics AS (SELECT topic, similarity, CAST(row_number() OVER (ORDER BY similarity DESC, topic) AS INTEGER) AS rank FROM sims QUALIFY rank <= {n})"
     )
 
 
@@ -171,7 +171,7 @@ WITH g AS (
 ), len AS (
     SELECT doc_id, sum(k) AS m FROM n GROUP BY doc_id
 ), score AS (
-    SELECT doc_id, size.lang, coalesce(s, 0) - m * ln(total + vocab) AS s
+    SELECT len.doc_id, size.lang, coalesce(s, 0) - m * ln(total + vocab) AS s
     FROM len CROSS JOIN size LEFT JOIN seen ON seen.doc_id = len.doc_id AND seen.lang = size.lang
 ), top AS (
     SELECT doc_id, max(s) AS best, arg_max(lang, s) AS lang FROM score GROUP BY doc_id
@@ -219,7 +219,7 @@ REPRESENTED = (
     "len AS (SELECT topic, sum(score * score) AS t2 FROM scored GROUP BY topic), "
     "dots AS (SELECT doc_id, topic, sum(own.n * weight * score) AS dot, sum((own.n * weight) ^ 2) AS d2 "
     "FROM own JOIN scored USING (topic, term) GROUP BY ALL), "
-    "rep AS (SELECT topic, doc_id, CASE WHEN d2 * t2 > 0 THEN dot / (sqrt(d2) * sqrt(t2)) ELSE 0 END AS similarity, "
+    "rep AS (SELECT topic, doc_id, round(CASE WHEN d2 * t2 > 0 THEN dot / (sqrt(d2) * sqrt(t2)) ELSE 0 END, 10) AS similarity, "
     "CAST(row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank "
     "FROM dots JOIN len USING (topic))"
 )
@@ -317,10 +317,10 @@ def all_sql() -> dict[str, str]:
         "topic_similarity_matrix": f"WITH {CENTRES} SELECT a.topic AS topic_a, b.topic AS topic_b, "
         "round(sum(a.value * b.value) / (sqrt(sum(a.value ^ 2)) * sqrt(sum(b.value ^ 2))), 6) AS similarity "
         "FROM cen a JOIN cen b USING (dim) GROUP BY ALL",
-        "find_topics": f"WITH {similar(8)} SELECT topic, rank, round(similarity, 6) AS similarity FROM similar",
-        "restrict_topics": f"WITH {similar(8)} SELECT doc_id, topic FROM ({CLASSED}) WHERE topic IN (SELECT topic FROM similar)",
+        "find_topics": f"WITH {similar(8)} SELECT topic, rank, round(similarity, 6) AS similarity FROM best_topics",
+        "restrict_topics": f"WITH {similar(8)} SELECT doc_id, topic FROM ({CLASSED}) WHERE topic IN (SELECT topic FROM best_topics)",
         "topic_barchart_data": f"WITH {similar(8)}, {plain_sql}, {ranked(5)} SELECT topic, rank, term, round(score, 8) AS score "
-        "FROM ranked WHERE topic IN (SELECT topic FROM similar)",
+        "FROM ranked WHERE topic IN (SELECT topic FROM best_topics)",
         "topic_probabilities": f"WITH {CENTRES}, s AS (SELECT vec_id, cen.topic, 1 + sum(x * value) / (sqrt(sum(x ^ 2)) * sqrt(sum(value ^ 2))) AS s "
         "FROM c JOIN cen USING (dim) GROUP BY vec_id, cen.topic) "
         "SELECT vec_id, topic, round(s / sum(s) OVER (PARTITION BY vec_id), 6) AS probability FROM s",
