@@ -9,15 +9,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StringIndexer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.fixed_values import ISO_639_3, UNKNOWN_LANGUAGE
+from topicloom.session import cut_lineage
 
-# The n-gram table is shipped to executors, so its length is bounded.
-MAX_GRAMS = 1 << 20
+# The n-gram table is built on the driver and shipped to executors, so its length is bounded.
+MAX_GRAMS = 1 << 17
 # Scores closer than this count as a tie.
 TIE = 1e-6
 
@@ -58,12 +60,25 @@ def train_language_profiles(
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = with_char_grams(known.select(F.col(lang).alias("lang"), F.col(text).alias("text")), F.col("text"), longest)
-    known = known.select("lang", "grams")
-    indexer = StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc").fit(known)
-    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=max_grams, minDF=1).fit(known)
-    counted = vectorizer.transform(indexer.transform(known)).select("label", "features")
-    bayes = NaiveBayes(modelType="multinomial", smoothing=1.0).fit(counted)
-    return LanguageProfiles(vectorizer, bayes, list(indexer.labels), longest)
+    exploded = known.select("lang", F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull())
+    counts = cut_lineage(exploded.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    vocabulary = counts.groupBy("gram").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gram").limit(max_grams)
+    # the model itself: at most max_grams counts per language
+    kept = counts.join(F.broadcast(vocabulary.select("gram")), "gram", "left_semi").toPandas()
+    if kept.empty:
+        raise ValueError("no labelled text to learn languages from")
+    languages, grams = sorted(kept["lang"].unique()), sorted(kept["gram"].unique())
+    place = {g: i for i, g in enumerate(grams)}
+    kept["at"] = kept["gram"].map(place)
+    # naive Bayes needs only the sums per language, so one row each is enough
+    rows = []
+    for label, name in enumerate(languages):
+        part = kept[kept["lang"] == name].sort_values("at")
+        rows.append((float(label), Vectors.sparse(len(grams), part["at"].tolist(), part["n"].astype(float).tolist())))
+    table = df.sparkSession.createDataFrame(rows, ["label", "features"])
+    bayes = NaiveBayes(modelType="multinomial", smoothing=1.0).fit(table)
+    vectorizer = CountVectorizerModel.from_vocabulary(grams, inputCol="grams", outputCol="features")
+    return LanguageProfiles(vectorizer, bayes, languages, longest)
 
 
 def detect_language(

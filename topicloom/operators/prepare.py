@@ -71,9 +71,8 @@ def segment_posts(
     """
     if mode not in MODES:
         raise ValueError(f"Unknown mode: {mode!r}; known are {MODES}")
-    df = df.where(F.col("text").isNotNull())
     if mode == "none":
-        return df
+        return df.where(F.col("text").isNotNull())
     abbreviations = tuple(abbreviations)
     text = F.col("text").cast("string")
     if mode == "paragraph":
@@ -83,7 +82,8 @@ def segment_posts(
         parts = F.filter(parts, lambda p: F.length(p) > 0)
     else:
         parts = tx.safe_sentences(text, abbreviations)
-    # posexplode() would make Spark test the array for emptiness first, and so build it twice
+    # posexplode() would make Spark test the array for emptiness first, and so build it twice;
+    # a null text gives no pieces here either
     pieces = df.select("id", F.col(key).alias("_key"), F.posexplode_outer(parts).alias("idx", "text"))
     return pieces.where(F.col("idx").isNotNull()).select(
         F.concat_ws("#", F.col("id"), F.col("_key").cast("string"), F.col("idx").cast("string")).alias("seg_key"),

@@ -82,6 +82,8 @@ def restrict_vocabulary(counts: DataFrame, min_df: int = 1, max_features: int |
     """Rows of ``counts`` whose term is in at least ``min_df`` topics and among the top terms."""
     if min_df <= 1 and max_features is None:
         return counts
+    # counted once: reading the counts back is much cheaper than the texts
+    counts = cut_lineage(counts)
     vocabulary = term_totals(counts).where(F.col("df") >= min_df)
     if max_features is not None:
         vocabulary = vocab_cap(vocabulary, max_features)

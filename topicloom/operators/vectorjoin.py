@@ -373,12 +373,12 @@ def score_all(
         lefts = left.select(
             "*",
             F.pmod(F.xxhash64("key"), F.lit(left_blocks)).alias("lb"),
-            F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1))).cast("long").alias("rb"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(right_blocks - 1).cast("long"))).alias("rb"),
         )
         rights = right.select(
             "*",
             F.pmod(F.xxhash64("target"), F.lit(right_blocks)).alias("rb"),
-            F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))).cast("long").alias("lb"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(left_blocks - 1).cast("long"))).alias("lb"),
         )
 
         def score_blocks(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
