@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topicloom.llm import packing, quality, tokens
+from topicloom.llm import chat, mixing, packing, quality, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -31,6 +32,104 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Shares of the languages, and how far the shares of sources and kinds of text are flattened.
+MIX = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "source": 0.5, "topic": 0.5}
+
+_KIND = """CASE WHEN 20 * (length(text) - length(replace(text, '|', ''))) > n_tokens THEN 'table'
+  WHEN 4 * (length(text) - length(replace(text, '!', ''))) > n_tokens THEN 'shout'
+  WHEN n_tokens < 100 THEN 'short' WHEN n_tokens < 1000 THEN 'middle' ELSE 'long' END"""
+
+
+def with_topic(docs: DataFrame) -> DataFrame:
+    """Documents with n_tokens (words) and topic (the kind of text).  A null text is an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    counted = docs.withColumn("text", text).withColumn("n_tokens", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+    return counted.withColumn("topic", F.expr(_KIND))
+
+
+@query
+def op1_mixing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    mixed = mixing.mix(with_topic(docs).drop("text"), MIX)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+_SQL["op1_mixing"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS text,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
+), d AS (SELECT doc_id, source, lang, n_tokens, {_KIND} AS topic FROM w
+), cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL
+), s AS (SELECT source, sqrt(sum(tokens)) AS want FROM cells GROUP BY 1 HAVING sum(tokens) > 0
+), t AS (SELECT topic, sqrt(sum(tokens)) AS want FROM cells GROUP BY 1 HAVING sum(tokens) > 0
+), l AS (SELECT lang, CASE lang WHEN 'en' THEN 0.4 ELSE 0.2 END AS want FROM cells GROUP BY 1
+), start AS (
+  SELECT 0 AS sweep, cells.*, 1.0::DOUBLE AS factor, s.want / (SELECT sum(want) FROM s) AS ts,
+    t.want / (SELECT sum(want) FROM t) AS tt, l.want / (SELECT sum(want) FROM l) AS tl
+  FROM cells JOIN s USING (source) JOIN t USING (topic) JOIN l USING (lang)
+), ipf AS (
+  SELECT * FROM start UNION ALL
+  SELECT sweep + 1, source, lang, topic, tokens, factor * tt / sum(tokens * factor) OVER (PARTITION BY topic), ts, tt, tl FROM (
+    SELECT * REPLACE (factor * ts / sum(tokens * factor) OVER (PARTITION BY source) AS factor) FROM (
+      SELECT * REPLACE (factor * tl / sum(tokens * factor) OVER (PARTITION BY lang) AS factor) FROM ipf WHERE sweep < 40))
+), p AS (
+  SELECT source, lang, topic, least(1.0, factor / max(CASE WHEN tokens > 0 THEN factor END) OVER ()) AS p FROM ipf WHERE sweep = 40
+)
+SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability,
+  ('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < p AS sampled
+FROM d JOIN p USING (source, lang, topic)
+"""
+
+
+@query
+def op2_chat(spark, sf_dir):
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.format_chats(turns).withColumn("_read", chat.read_turns(F.col("formatted")))
+    whole = F.array_join(F.transform("_read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    made = made.withColumn("_loss", chat.loss_text(F.col("segments")))
+    return made.select(
+        "conv_id",
+        F.size("_read").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "first_bad",
+    )
+
+
+_SQL["op2_chat"] = r"""
+WITH RECURSIVE rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    len(regexp_extract_all(text, '[\[<]\\*(?:<SYS>>|</SYS>>|INST\]|/INST\]|s>|/s>|ROLE\]|:\]|/ROLE\])')) AS signs,
+    CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 19 + length(role) END AS marks
+  FROM rows
+), fsm AS (
+  SELECT conv_id, 0::BIGINT AS pos, 'start' AS state FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL
+  SELECT fsm.conv_id, t.pos, CASE fsm.state || '>' || t.role WHEN 'start>system' THEN 'told' WHEN 'start>user' THEN 'asked'
+    WHEN 'told>user' THEN 'asked' WHEN 'asked>assistant' THEN 'answered' WHEN 'answered>user' THEN 'asked' ELSE 'error' END
+  FROM fsm JOIN t ON t.conv_id IS NOT DISTINCT FROM fsm.conv_id AND t.pos = fsm.pos + 1
+), machine AS (
+  SELECT conv_id, arg_max(state, pos) = 'answered' AS valid, min(pos) FILTER (state = 'error')::INT AS first_bad FROM fsm GROUP BY 1
+), c AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS whole,
+    coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss,
+    sum(length(text) + signs + marks)::BIGINT AS formatted_chars
+  FROM t GROUP BY 1
+)
+SELECT c.conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars, valid, first_bad
+FROM c JOIN machine ON machine.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 @query
 def op3_packing(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -82,3 +181,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op6_token_counts(spark, sf_dir):
     table = read(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(table, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op8_sharding(spark, sf_dir):
+    placed = sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
