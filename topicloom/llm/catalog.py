@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, mixing, packing, quality, sharding, tokens
+from topicloom.llm import chat, mixing, packing, quality, sharding, tokens, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -187,3 +187,8 @@ def op6_token_counts(spark, sf_dir):
 def op8_sharding(spark, sf_dir):
     placed = sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op9_near_vectors(spark, sf_dir):
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
