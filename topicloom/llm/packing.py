@@ -200,12 +200,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFr
             "place": chosen["offset"].to_numpy(),
         }))
     columns = ["length", "_part", "low", "sequence", "place"]
-    table = pd.concat(steps)[columns] if steps else pd.DataFrame(columns=columns)
-    lists = [
-        (int(length), int(part), [(int(a), int(b), int(c)) for a, b, c in rows[["low", "sequence", "place"]].itertuples(index=False)])
-        for (length, part), rows in table.groupby(["length", "_part"])
-    ]
-    places = spark.createDataFrame(lists, "length long, _part int, steps array<struct<low:long,sequence:long,place:long>>")
+    table = (pd.concat(steps)[columns] if steps else pd.DataFrame(columns=columns)).astype("int64")
+    flat = spark.createDataFrame(table, "length long, _part long, low long, sequence long, place long")
+    step = F.struct("low", "sequence", "place")
+    places = flat.groupBy("length", F.col("_part").cast("int").alias("_part")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
     ranked = pieces.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(key, "start", "ids_crc32")).cast("long") - 1
     )
