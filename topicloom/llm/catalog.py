@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, mixing, packing, quality, sharding, tokens, vectors
+from topicloom.llm import chat, mixing, neardup, packing, quality, sharding, tokens, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -192,3 +192,8 @@ def op8_sharding(spark, sf_dir):
 @query
 def op9_near_vectors(spark, sf_dir):
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_near_texts(spark, sf_dir):
+    return neardup.near_texts(read(spark, sf_dir, "documents").select("doc_id", "text"))
