@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, mixing, neardup, packing, quality, sharding, tokens, vectors
+from topicloom.llm import chat, mixing, neardup, packing, quality, repeats, sharding, tokens, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -183,6 +183,11 @@ def op6_token_counts(spark, sf_dir):
     return tokens.count_tokens(table, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op7_repeated_passages(spark, sf_dir):
+    return repeats.repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_sharding(spark, sf_dir):
     placed = sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), 24)
