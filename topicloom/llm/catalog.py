@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, mixing, neardup, packing, quality, repeats, sharding, tokens, vectors
+from topicloom.llm import chat, lm, mixing, neardup, packing, quality, repeats, sharding, tokens, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -177,6 +177,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+@query
+def op5_lm_scores(spark, sf_dir):
+    return lm.score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op6_token_counts(spark, sf_dir):
     table = read(spark, sf_dir, "documents").select("doc_id", "text")
