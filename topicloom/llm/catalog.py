@@ -35,22 +35,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 #: Shares of the languages, and how far the shares of sources and kinds of text are flattened.
 MIX = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "source": 0.5, "topic": 0.5}
 
-_KIND = """CASE WHEN 20 * (length(text) - length(replace(text, '|', ''))) > n_tokens THEN 'table'
-  WHEN 4 * (length(text) - length(replace(text, '!', ''))) > n_tokens THEN 'shout'
-  WHEN n_tokens < 100 THEN 'short' WHEN n_tokens < 1000 THEN 'middle' ELSE 'long' END"""
-
-
-def with_topic(docs: DataFrame) -> DataFrame:
-    """Documents with n_tokens (words) and topic (the kind of text).  A null text is an empty one."""
-    text = F.coalesce("text", F.lit(""))
-    counted = docs.withColumn("text", text).withColumn("n_tokens", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
-    return counted.withColumn("topic", F.expr(_KIND))
-
-
 @query
 def op1_mixing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    mixed = mixing.mix(with_topic(docs).drop("text"), MIX)
+    mixed = mixing.mix(mixing.with_topic(docs).drop("text"), MIX)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
@@ -58,7 +46,7 @@ _SQL["op1_mixing"] = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, source, lang, coalesce(text, '') AS text,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
-), d AS (SELECT doc_id, source, lang, n_tokens, {_KIND} AS topic FROM w
+), d AS (SELECT doc_id, source, lang, n_tokens, {mixing.KIND} AS topic FROM w
 ), cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL
 ), s AS (SELECT source, sqrt(sum(tokens)) AS want FROM cells GROUP BY 1 HAVING sum(tokens) > 0
 ), t AS (SELECT topic, sqrt(sum(tokens)) AS want FROM cells GROUP BY 1 HAVING sum(tokens) > 0
@@ -71,9 +59,9 @@ WITH RECURSIVE w AS (
   SELECT * FROM start UNION ALL
   SELECT sweep + 1, source, lang, topic, tokens, factor * tt / sum(tokens * factor) OVER (PARTITION BY topic), ts, tt, tl FROM (
     SELECT * REPLACE (factor * ts / sum(tokens * factor) OVER (PARTITION BY source) AS factor) FROM (
-      SELECT * REPLACE (factor * tl / sum(tokens * factor) OVER (PARTITION BY lang) AS factor) FROM ipf WHERE sweep < 40))
+      SELECT * REPLACE (factor * tl / sum(tokens * factor) OVER (PARTITION BY lang) AS factor) FROM ipf WHERE sweep < {mixing.SWEEPS}))
 ), p AS (
-  SELECT source, lang, topic, least(1.0, factor / max(CASE WHEN tokens > 0 THEN factor END) OVER ()) AS p FROM ipf WHERE sweep = 40
+  SELECT source, lang, topic, least(1.0, factor / max(CASE WHEN tokens > 0 THEN factor END) OVER ()) AS p FROM ipf WHERE sweep = {mixing.SWEEPS}
 )
 SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability,
   ('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < p AS sampled

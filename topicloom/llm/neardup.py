@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.components import components
@@ -300,3 +300,12 @@ def near_texts(table: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return found.unionByName(bare).select(
         F.col("k").alias(key), "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.lit(True)).alias("kept")
     )
+
+
+def drop_near_copies(table: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``table`` with one of each class: the one with the smallest key, once if it repeats.  Null keys stay."""
+    chosen = near_texts(table, key, text).where(F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
+    rows = table.join(chosen, key, "left_semi").select(*[F.col(f"`{c}`") for c in table.columns])
+    same = Window.partitionBy(f"`{key}`", F.md5(f"`{text}`")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in table.columns]))
+    once = rows.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
+    return once.unionByName(table.where(F.col(f"`{key}`").isNull()))

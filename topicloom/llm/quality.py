@@ -44,15 +44,15 @@ POLICIES = {
 }
 
 
-def measure(table: DataFrame, text: str = "text") -> DataFrame:
-    """``table`` with one column per measurement of the whole text.
+def measure(table: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``table`` with one column per measurement of the whole text, which itself goes unless ``keep_text``.
 
     A null text is measured as an empty one.  Columns of ``table`` named like a
     measurement are replaced.
     """
     names = [part.split()[0] for part in MEASURES.split(", ")]
     keep = table.drop(*names)
-    others = [c for c in keep.columns if c != text]
+    others = [c for c in keep.columns if c != text or keep_text]
     fields = [keep.schema[c] for c in others]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
@@ -116,17 +116,19 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lines, repeated
 
 
-def rule_ledger(table: DataFrame, text: str = "text") -> DataFrame:
+def rule_ledger(table: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Measurements and ``failed``, a long with one bit per failed rule in the order of ``RULES``.
 
-    All columns of ``table`` but the text stay.  No shuffle.
+    Null and empty texts have no words.  Rows stay one to one, repeated ones too; an
+    empty table gives an empty ledger.  Other columns stay, unless they are named
+    like a measurement.  No shuffle.
     """
     rules = _rules()
     bits = [F.when(rules[name], F.lit(1 << i)).otherwise(F.lit(0)) for i, name in enumerate(RULES)]
     total = bits[0]
     for bit in bits[1:]:
         total = total.bitwiseOR(bit)
-    return measure(table, text).withColumn("failed", total.cast("long"))
+    return measure(table, text, keep_text).withColumn("failed", total.cast("long"))
 
 
 def policy_mask(policy: str | Mapping[str, bool] | tuple[str, ...]) -> int:
@@ -167,3 +169,9 @@ def ablations(ledger: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFr
         count(bits == 0).alias("n_kept"),
         count((bits == 0) | (bits == bit)).alias("n_kept_without"),
     )
+
+
+def drop_failed(table: DataFrame, policy: str | tuple[str, ...] = "v1", text: str = "text") -> DataFrame:
+    """The rows of ``table`` that fail no rule of the policy."""
+    ledger = apply_policy(rule_ledger(table, text, keep_text=True), policy, "_kept")
+    return ledger.where("_kept").select(*[F.col(f"`{c}`") for c in table.columns])
