@@ -32,8 +32,9 @@ BLOCK_ROWS, VISITOR_ROWS = 256, 1024
 #: Rows per task of small groups taken together.
 BATCH_ROWS = 1024
 
-#: Hashes per text that tell, before the alignment, which pairs cannot be similar.
-SIGNATURE = 64
+#: Hashes per text that tell, before anything exact, which pairs cannot be similar.  A similarity of 0.8 agrees in
+#: 0.8 of them, with a standard deviation of 0.035; AGREE is five of these below.
+SIGNATURE, AGREE = 128, 80
 
 
 def labelled_shingles(words, hashes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -150,48 +151,60 @@ def _sketched(texts: DataFrame) -> DataFrame:
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """k, shingles of the rows (k, text)."""
+    """gid, sketches, shingles of the rows (gid, sketches, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for piece in text_pieces(batches, "text"):
-            w = find_words(piece.column(1))
+            w = find_words(piece.column(2))
             doc, shingles = labelled_shingles(w, hasher.spans(w.raw, w.start, w.stop))
             first = np.searchsorted(doc, np.arange(w.texts + 1))
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(signed(shingles)))
-            yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["k", "shingles"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), lists], names=["gid", "sketches", "shingles"])
 
-    kind = texts.schema["k"].dataType.simpleString()
-    return texts.mapInArrow(run, f"k {kind}, shingles array<long>")
+    return texts.mapInArrow(run, "gid long, sketches array<long>, shingles array<long>")
 
 
 class _Texts:
-    """The rows of a verification task."""
+    """The shingles of the rows of a verification task, in text order and sorted, with signatures and sketches."""
 
     def __init__(self, table: pa.Table):
         column = table.column("shingles").combine_chunks()
         self.values = column.flatten().to_numpy(zero_copy_only=False)
         self.first = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))])
         self.size = np.diff(self.first)
-        spread = seeds(SIGNATURE, 61)
+        self.ordered = self.values[np.lexsort((self.values, np.repeat(np.arange(len(self.size)), self.size)))]
+        self.sketches = table.column("sketches").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES)
         self.signature = np.empty((len(self.size), SIGNATURE), dtype=np.uint32)
         values = self.values.view(np.uint64)
-        for s, odd in enumerate(spread):
+        for s, odd in enumerate(seeds(SIGNATURE, 61)):
             self.signature[:, s] = np.minimum.reduceat(mix(values * odd), self.first[:-1]) >> np.uint64(32)
 
     def sequence(self, i: int) -> np.ndarray:
         return self.values[self.first[i] : self.first[i + 1]]
 
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles text ``i`` shares with each of the others."""
+        mine, sizes = self.ordered[self.first[i] : self.first[i + 1]], self.size[others]
+        starts = np.cumsum(sizes) - sizes
+        theirs = self.values[np.repeat(self.first[others] - starts, sizes) + np.arange(sizes.sum())]
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        return np.add.reduceat(hit.astype(np.int64), starts)
+
 
 def _verify(table: pa.Table) -> pa.Table:
-    """Edges (u, v) that connect what is similar within each group; pairs already connected are not aligned."""
+    """Edges (u, v) that connect what is similar within each group.
+
+    Pairs already connected are passed over, and so are pairs that also meet in the
+    group of an earlier band.
+    """
     home = table.column("home").to_numpy(zero_copy_only=False)
     groups = [table.column(c).to_numpy() for c in ("group", "part", "salt")]
     order = np.lexsort((~home, *groups[::-1]))
     table, home = table.take(pa.array(order)), home[order]
     changed = [g[order][1:] != g[order][:-1] for g in groups]
     cuts = np.concatenate([[0], np.flatnonzero(changed[0] | changed[1] | changed[2]) + 1, [len(home)]])
-    gid, label = table.column("gid").to_numpy(), table.column("label").to_numpy()
+    gid, label, band = (table.column(c).to_numpy() for c in ("gid", "label", "band"))
     texts = _Texts(table)
     parent = {x: x for x in label.tolist()}
 
@@ -202,26 +215,33 @@ def _verify(table: pa.Table) -> pa.Table:
         return x
 
     u, v = [], []
-    # a similarity of 0.8 agrees in 0.8 of the hashes, with a standard deviation of 0.05
-    agree = int(SIGNATURE * (SIMILARITY - 0.3))
-    for first, last in zip(cuts[:-1], cuts[1:]):
+    for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         here = first + int(home[first:last].sum())
-        size, signature = texts.size[first:here], texts.signature[first:here]
+        size, signature, sketches = texts.size[first:here], texts.signature[first:here], texts.sketches[first:here, : band[first]]
+        roots = np.array([root(x) for x in label[first:here].tolist()])
         for i in range(here, last):
+            mine = root(int(label[i]))
             small, large = np.minimum(size, texts.size[i]), np.maximum(size, texts.size[i])
-            ready = np.flatnonzero((small >= SIMILARITY * large) & (gid[first:here] != gid[i]))
-            ready = ready[(signature[ready] == texts.signature[i]).sum(axis=1) >= agree]
-            for j in (first + ready).tolist():
-                mine, other = root(int(label[i])), root(int(label[j]))
-                if mine != other and alignment(texts.sequence(i), texts.sequence(j)) >= SIMILARITY:
+            ready = np.flatnonzero((small >= SIMILARITY * large) & (roots != mine) & (gid[first:here] != gid[i]))
+            ready = ready[(signature[ready] == texts.signature[i]).sum(axis=1) >= AGREE]
+            ready = ready[~(sketches[ready] == texts.sketches[i, : band[first]]).any(axis=1)]
+            if not len(ready):
+                continue
+            shared = texts.shared(i, first + ready)
+            near = shared >= SIMILARITY * (size[ready] + texts.size[i] - shared) - 1e-9
+            for j in ready[near][np.argsort(-shared[near], kind="stable")].tolist():
+                if roots[j] != mine and alignment(texts.sequence(i), texts.sequence(first + j)) >= SIMILARITY:
+                    other = int(roots[j])
                     parent[mine] = other
+                    roots[roots == mine] = other
+                    mine = other
                     u.append(int(gid[i]))
-                    v.append(int(gid[j]))
+                    v.append(int(gid[first + j]))
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _meetings(residents: DataFrame, visitors: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Edges between the visitors and the residents (group, gid, label) of each group.
+    """Edges between the visitors and the residents (group, band, gid, label) of each group.
 
     Residents of a group are cut into blocks and visitors into shares, so a group of
     any size is many small meetings; small meetings are verified some hundred at a
@@ -239,8 +259,8 @@ def _meetings(residents: DataFrame, visitors: DataFrame, bodies: DataFrame) -> D
     part, salt = F.pmod(F.xxhash64("gid"), "parts").cast("int"), F.pmod(F.xxhash64(F.lit(7), "gid"), "salts").cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     plan = plan.drop("_n", "_m")
-    at_home = residents.join(plan, "group").select("group", part.alias("part"), span("salts").alias("salt"), "gid", "label", F.lit(True).alias("home"))
-    away = visitors.join(plan, "group").select("group", span("parts").alias("part"), salt.alias("salt"), "gid", "label", F.lit(False).alias("home"))
+    at_home = residents.join(plan, "group").select("group", part.alias("part"), span("salts").alias("salt"), "gid", "label", "band", F.lit(True).alias("home"))
+    away = visitors.join(plan, "group").select("group", span("parts").alias("part"), salt.alias("salt"), "gid", "label", "band", F.lit(False).alias("home"))
     rows = at_home.unionByName(away).join(bodies, "gid")
     batch = F.pmod(F.xxhash64("group", "part", "salt"), F.lit(batches))
     return rows.groupBy(batch.alias("batch")).applyInArrow(_verify, "u long, v long")
@@ -269,26 +289,31 @@ def near_texts(table: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     copies = sketched.groupBy("h1", "h2", "size").agg(F.min("k").alias("rep"), F.any_value("sketches").alias("sketches"))
     copies = cut_lineage(copies.withColumn("gid", F.monotonically_increasing_id()))
 
-    buckets = copies.select("gid", F.posexplode("sketches").alias("band", "print")).select("gid", F.xxhash64("band", "print").alias("group"))
+    buckets = copies.select("gid", F.posexplode("sketches").alias("band", "print")).select(
+        "gid", F.col("band").cast("int").alias("band"), F.xxhash64("band", "print").alias("group")
+    )
     shared = buckets.groupBy("group").agg(F.min("gid").alias("pivot"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     members = cut_lineage(buckets.join(shared, "group"))
 
     # the texts that share a sketch with another one, with their shingles
-    wanted = members.select("gid").distinct().join(copies.select("gid", "rep"), "gid")
-    again = worded.join(wanted.select(F.col("rep").alias("k"), "gid"), "k").dropDuplicates(["gid"]).select(F.col("gid").alias("k"), "text")
-    bodies = cut_lineage(_shingled(again).withColumnRenamed("k", "gid"))
-
-    stars = members.where("gid <> pivot").select(F.col("pivot").alias("group"), "gid").distinct().withColumn("label", F.col("gid"))
-    pivots = stars.select("group").distinct().select("group", F.col("group").alias("gid"), F.col("group").alias("label"))
+    wanted = members.select("gid").distinct().join(copies.select("gid", "rep", "sketches"), "gid")
+    again = worded.join(wanted.withColumnRenamed("rep", "k"), "k").dropDuplicates(["gid"]).select("gid", "sketches", "text")
+    bodies = cut_lineage(_shingled(again))
+
+    first_band = F.lit(0).alias("band")
+    stars = members.where("gid <> pivot").select(F.col("pivot").alias("group"), "gid").distinct()
+    stars = stars.select("group", first_band, "gid", F.col("gid").alias("label"))
+    pivots = stars.select("group").distinct().select("group", first_band, F.col("group").alias("gid"), F.col("group").alias("label"))
     edges = cut_lineage(_meetings(pivots, stars, bodies))
 
     comps = components(edges).withColumnRenamed("vertex", "gid")
-    labelled = members.select("group", "gid").join(comps, "gid", "left").select("group", "gid", F.coalesce("comp", "gid").alias("label"))
+    labelled = members.join(comps, "gid", "left").select("group", "band", "gid", F.coalesce("comp", "gid").alias("label"))
     parts = labelled.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
     open_groups = cut_lineage(labelled.join(largest.where("parts > 1").select("group", "main"), "group"))
     more = cut_lineage(_meetings(open_groups.drop("main"), open_groups.where("label <> main").drop("main"), bodies))
-    comps = components(edges.unionByName(more)).withColumnRenamed("vertex", "gid")
+    known = comps.select(F.col("gid").alias("u"), F.col("comp").alias("v"))
+    comps = components(known.unionByName(more)).withColumnRenamed("vertex", "gid")
 
     named = comps.join(copies.select("gid", "rep"), "gid")
     lowest = named.groupBy("comp").agg(F.min("rep").alias("low"))
