@@ -32,7 +32,7 @@ WORD_CLASSES, ENDING_CLASSES, OTHER_CLASSES = 127, 120, 8
 CLASSES = 1 + WORD_CLASSES + ENDING_CLASSES + OTHER_CLASSES
 
 #: Words whose counts are sent to every task, 12 bytes each; the rest are joined.
-BROADCAST_WORDS = 1 << 20
+BROADCAST_WORDS = 1 << 18
 
 #: Length of the vectors, and the training: parts, rounds, examples and noise classes per step.
 DIMENSIONS, PARTS, ROUNDS, BATCH, NOISE = 24, 8, 3, 2048, 64
@@ -121,7 +121,7 @@ class Model:
         """Noise-contrastive estimation with AdaGrad; examples are drawn in proportion to their counts."""
         draw = np.random.default_rng(seed)
         share = np.cumsum(counts / counts.sum())
-        steps = int(min(500, 60 + len(triples) // 500))
+        steps = int(min(200, 60 + len(triples) // 2000))
         log_noise = np.log(NOISE * self.noise)
         noise_share = np.cumsum(self.noise)
         size = {n: np.full(getattr(self, n).shape, 1e-3) for n in self.NAMES}
