@@ -43,7 +43,7 @@ def test_disambiguate(spark):
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_running_number_over_ranges(spark, kind):
     df = spark.range(500).select(F.pmod(F.col("id") * 7919, F.lit(500)).cast(kind).alias("k"))
-    got = running_number(df, [F.col("k")], "n", rows_per_range=40)
+    got = running_number(df, [F.col("k")], "n")
     want = [r.k for r in df.orderBy("k").collect()]
     assert [(r.k, r.n) for r in got.orderBy("n").collect()] == [(k, i + 1) for i, k in enumerate(want)]
 

@@ -39,9 +39,9 @@ def test_renumber_keeps_noise(spark):
 
 def test_seeds(spark):
     with pytest.raises(ValueError):
-        tp.check_seeds("x")
+        tp.seed_phrases("x")
     with pytest.raises(ValueError):
-        tp.check_seeds([["a"], "b"])
+        tp.seed_phrases([["a"], "b"])
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.5, 0.6])], "seg_key string, embedding array<double>")
     seeds = spark.createDataFrame([(0, [1.0, 0.1])], "seed int, embedding array<double>")
     got = {r.seg_key: (r.seed, r.embedding) for r in tp.guide_with_seeds(rows, seeds).collect()}
@@ -113,3 +113,10 @@ def test_representative_docs_score_every_text(spark, corpus):
     scored = tm.class_tfidf(tm.count_terms(table))
     docs = tp.representative_docs(table, scored, n=500)
     assert docs.count() == 120
+
+
+def test_representative_docs_keep_texts_without_known_terms(spark):
+    rows = spark.createDataFrame([("a", "python server", 0), ("b", "ukendt", 0), ("c", "", 1)], "seg_key string, text string, topic int")
+    scored = tm.class_tfidf(tm.count_terms(rows.where("seg_key = 'a'")))
+    got = {(r.topic, r.seg_key): r.similarity for r in tp.representative_docs(rows, scored).collect()}
+    assert set(got) == {(0, "a"), (0, "b"), (1, "c")} and got[0, "b"] == got[1, "c"] == 0.0

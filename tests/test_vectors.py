@@ -62,10 +62,10 @@ def test_scores_in_blocks(spark):
             assert sum(r.similarity for r in a) == pytest.approx(len(v))
 
 
-@pytest.mark.parametrize("small_rows", [10_000, 0])
-def test_spanning_tree_is_exact(spark, small_rows):
+@pytest.mark.parametrize("block_rows", [4096, 40])
+def test_spanning_tree_is_exact(spark, block_rows):
     v = blobs()
-    got = mst_edges(frame(spark, v), 4, "id", "e", 40, small_rows).collect()
+    got = mst_edges(frame(spark, v), 4, "id", "e", block_rows).collect()
     assert np.sort([r.weight for r in got]) == pytest.approx(np.sort([w for w, _, _ in mst_brute(v, 4)]))
 
 
@@ -74,9 +74,9 @@ def same_clusters(a, b):
     return len(pairs) == len(set(a)) == len(set(b)) and all((x == -1) == (y == -1) for x, y in pairs)
 
 
-@pytest.mark.parametrize("args", [{}, {"merge_edges": 60}, {"merge_edges": 60, "tree_clusters": 1}])
+@pytest.mark.parametrize("args", [{}, {"merge_edges": 60}, {"merge_edges": 60, "block_rows": 40}])
 def test_hdbscan_matches_brute_force(spark, args):
-    """In one task; split into many; and with the cluster tree decided level by level."""
+    """With one set of edges; with several; and with several blocks of points."""
     v = blobs(2)
     rows = sorted(cl.cluster_hdbscan(frame(spark, v), 5, 3, "id", "e", **args).collect())
     assert same_clusters([r.topic for r in rows], hdbscan_brute(v, 5, 3).tolist())
@@ -157,9 +157,31 @@ def test_rank_weights(spark):
     assert {r.token: r.weight for r in en.rank_weights(df, scheme="zipf").collect()} == {"aa": pytest.approx(np.log(2)), "bb": pytest.approx(np.log(3))}
 
 
-def test_hierarchy_in_rounds_equals_one_task(spark):
+def test_hierarchy_in_rounds_equals_one_at_a_time(spark):
     rng = np.random.default_rng(5)
-    c = frame(spark, rng.normal(size=(15, 4))).select(F.col("id").cast("int").alias("topic"), F.col("e").alias("centroid"))
-    key = lambda r: (r.step, r.topic_a, r.topic_b, round(r.distance, 9), r.size)
-    one, rounds = tp.topic_hierarchy(c).collect(), tp.topic_hierarchy(c, 0).collect()
-    assert sorted(map(key, one)) == sorted(map(key, rounds)) and len(one) == 14
+    v = rng.normal(size=(15, 4))
+    c = frame(spark, v).select(F.col("id").cast("int").alias("topic"), F.col("e").alias("centroid"))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    d, size, want = 1 - unit @ unit.T, np.ones(15), []
+    np.fill_diagonal(d, np.inf)
+    for step in range(1, 15):
+        i, j = sorted(np.unravel_index(d.argmin(), d.shape))
+        want.append((step, i, j, round(float(d[i, j]), 9), int(size[i] + size[j])))
+        both = (size[i] + size) * d[i] ** 2 + (size[j] + size) * d[j] ** 2 - size * d[i, j] ** 2
+        row = np.sqrt(both / (size[i] + size[j] + size))
+        d[i], d[:, i], size[i] = row, row, size[i] + size[j]
+        d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
+    got = tp.topic_hierarchy(c).collect()
+    assert sorted((r.step, r.topic_a, r.topic_b, round(r.distance, 9), r.size) for r in got) == want
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_clusters_do_not_depend_on_blocks(spark, partitions):
+    """Grid points with ties and copies: the same labels for any block size and partitioning."""
+    rng = np.random.default_rng(11)
+    v = rng.integers(0, 7, size=(120, 2)).astype(float)
+    df = frame(spark, v).repartition(partitions)
+    runs = [
+        sorted((r.id, r.topic, round(r.prob, 9)) for r in cl.cluster_hdbscan(df, 4, 2, "id", "e", block_rows=b).collect()) for b in (4096, 30)
+    ]
+    assert runs[0] == runs[1]

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from topicloom.functions.fixed_values import ISO_639_3, UNKNOWN_LANGUAGE
 from topicloom.session import cut_lineage
 
-# The n-gram table is built on the driver and shipped to executors, so its length is bounded.
-MAX_GRAMS = 1 << 17
+# Labelled texts to learn from, at most (about): the classifier is fitted on the driver, so its sample is bounded.
+MAX_TEXTS = 50_000
 # Scores closer than this count as a tie.
 TIE = 1e-6
 
@@ -52,19 +52,21 @@ def with_char_grams(df: DataFrame, text: Column, longest: int = 3) -> DataFrame:
 
 
 def train_language_profiles(
-    df: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, max_grams: int = MAX_GRAMS
+    df: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, max_texts: int = MAX_TEXTS
 ) -> LanguageProfiles:
     """Count n-grams per language; add-one smoothed log-probabilities.
 
-    ``max_grams`` bounds the model, keeping the most frequent n-grams.
+    The classifier is fitted on about ``max_texts`` labelled texts, all if there are
+    no more, drawn by a hash of the text; all their n-grams are kept.
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    share = max_texts / max(known.count(), max_texts)
+    known = known.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share * (1 << 20))
     known = with_char_grams(known.select(F.col(lang).alias("lang"), F.col(text).alias("text")), F.col("text"), longest)
     exploded = known.select("lang", F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull())
     counts = cut_lineage(exploded.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
-    vocabulary = counts.groupBy("gram").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gram").limit(max_grams)
-    # the model itself: at most max_grams counts per language
-    kept = counts.join(F.broadcast(vocabulary.select("gram")), "gram", "left_semi").toPandas()
+    # the model itself: the n-grams of a bounded sample
+    kept = counts.toPandas()
     if kept.empty:
         raise ValueError("no labelled text to learn languages from")
     languages, grams = sorted(kept["lang"].unique()), sorted(kept["gram"].unique())

@@ -19,7 +19,6 @@ def disambiguate_ids(
     constant: str = fv.JOBCENTER_ID,
     prefix: str = fv.JOBCENTER_PREFIX,
     order: str = "ord",
-    **sizes: int,
 ) -> DataFrame:
     """Give every row with the constant id its own id: ``prefix`` + running count + 1.
 
@@ -27,7 +26,7 @@ def disambiguate_ids(
     without a shuffle.
     """
     hot = F.col("id") == constant
-    numbers = running_number(df.where(hot), [F.col(order)], "_n", **sizes)
+    numbers = running_number(df.where(hot), [F.col(order)], "_n")
     renamed = numbers.withColumn("id", F.concat(F.lit(prefix), (F.col("_n") + 1).cast("string"))).drop("_n")
     # a null id is not the constant
     return df.where(~F.coalesce(hot, F.lit(False))).unionByName(renamed)
@@ -37,22 +36,6 @@ def filter_language(df: DataFrame, code: str = fv.DEFAULT_LANGUAGE) -> DataFrame
     return df.where(F.col("language") == code)
 
 
-def clean_posts(
-    df: DataFrame, language: Column | None = None, code: str | None = fv.DEFAULT_LANGUAGE, order: str = "ord"
-) -> DataFrame:
-    """Unique ids, then the language filter on the raw text, then cleaning.
-
-    ``df`` already has a ``language`` column unless ``language`` is given;
-    ``code=None`` keeps every language.
-    """
-    df = disambiguate_ids(df, order=order)
-    if language is not None:
-        df = df.withColumn("language", language)
-    if code is not None:
-        df = filter_language(df, code)
-    return df.withColumn("text", tx.clean_text(F.col("text")))
-
-
 def segment_label(id_col: Column, idx: Column) -> Column:
     return F.format_string("%s_%02d", id_col, idx)
 

@@ -18,9 +18,6 @@ from topicloom.operators.ordering import running_number
 from topicloom.operators.vectorjoin import matrix, score_all
 from topicloom.session import cut_lineage
 
-# Up to this many topics all pairs are merged in one task.
-SMALL_HIERARCHY = 1000
-
 
 def align(texts: DataFrame, other: DataFrame, key: str = "seg_key", check: bool = True) -> DataFrame:
     """Join texts with their vectors or topics by key; with ``check`` none may be missing on either side."""
@@ -102,15 +99,20 @@ def topic_probabilities(df: DataFrame, centroids: DataFrame, key: str = "seg_key
 # --- seeds -------------------------------------------------------------------------------
 
 
-def check_seeds(seeds) -> list[list[str]]:
-    if not isinstance(seeds, list) or not all(isinstance(s, list) for s in seeds):
-        raise ValueError(f"Invalid seed topic list: {seeds!r}. It must be a list of lists.")
-    return seeds
+def seed_phrases(seeds: Sequence[Sequence[str]]) -> list[str]:
+    """One text per seed: its phrases joined.  A seed is a non-empty sequence of strings, and not itself a string."""
+    texts = []
+    for number, seed in enumerate(seeds):
+        phrases = [seed] if isinstance(seed, str) else list(seed)
+        if isinstance(seed, str) or not phrases or any(not isinstance(p, str) for p in phrases):
+            raise ValueError(f"seed {number} is {seed!r}; give each seed as a sequence of phrases")
+        texts.append(" ".join(phrases))
+    return texts
 
 
-def seed_embeddings(df: DataFrame, seeds: list[list[str]], dims: int = 64) -> DataFrame:
+def seed_embeddings(df: DataFrame, seeds: Sequence[Sequence[str]], dims: int = 64) -> DataFrame:
     """seed, embedding: each list of phrases joined to one text and encoded."""
-    rows = [(i, " ".join(s)) for i, s in enumerate(check_seeds(seeds))]
+    rows = list(enumerate(seed_phrases(seeds)))
     made = df.sparkSession.createDataFrame(rows, "seed int, text string")
     return embed_static(made, "seed", "text", dims)
 
@@ -178,7 +180,8 @@ def representative_docs(
     base = F.sqrt("own2") * F.sqrt("topic2")
     similarity = F.when(base > 0, F.col("dot") / base).otherwise(F.lit(0.0))
     # rounded, so that copies of a text are equal and ordered by key
-    compared = sums.join(lengths, "topic").select("topic", key, F.round(similarity, 10).alias("similarity"))
+    every = df.select(key, "topic").join(sums, [key, "topic"], "left").join(lengths, "topic", "left")
+    compared = every.select("topic", key, F.round(similarity, 10).alias("similarity"))
     order = Window.partitionBy("topic").orderBy(F.desc("similarity"), key)
     return (
         compared.withColumn("rank", F.row_number().over(order))
@@ -267,31 +270,7 @@ def topic_info(assigned: DataFrame, words: DataFrame, representatives: DataFrame
 # --- hierarchy ---------------------------------------------------------------------------
 
 
-def _small_hierarchy(start: DataFrame) -> DataFrame:
-    """Ward merges of so few topics that all their pairs fit one task."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(pdf["a"])
-        n = len(names)
-        d = np.full((n, n), np.inf)
-        d[np.searchsorted(names, pdf["a"]), np.searchsorted(names, pdf["b"])] = pdf["d"]
-        size, out = np.ones(n), []
-        for _ in range(n - 1):
-            i, j = sorted(np.unravel_index(d.argmin(), d.shape))
-            gap = d[i, j]
-            out.append((names[i], names[j], gap, int(size[i] + size[j])))
-            both = (size[i] + size) * d[i] ** 2 + (size[j] + size) * d[j] ** 2 - size * gap**2
-            row = np.sqrt(np.maximum(both / (size[i] + size[j] + size), 0.0))
-            d[i], d[:, i] = row, row
-            d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
-            size[i] += size[j]
-        return pd.DataFrame(out, columns=["a", "b", "d", "n"])
-
-    topic_type = start.schema["a"].dataType.simpleString()
-    return start.groupBy(F.lit(0).alias("all")).applyInPandas(merge, f"a {topic_type}, b {topic_type}, d double, n long")
-
-
-def topic_hierarchy(centroids: DataFrame, small: int = SMALL_HIERARCHY) -> DataFrame:
+def topic_hierarchy(centroids: DataFrame) -> DataFrame:
     """step, topic_a, topic_b, distance, size: Ward merges over 1 - cosine, nearest first.
 
     A cluster is named by its smallest topic.  Ward linkage is reducible, so all
@@ -300,12 +279,6 @@ def topic_hierarchy(centroids: DataFrame, small: int = SMALL_HIERARCHY) -> DataF
     """
     spark = centroids.sparkSession
     start = topic_similarity_matrix(centroids).where(F.col("topic_a") != F.col("topic_b"))
-    if centroids.count() <= small:
-        pairs = start.select(F.col("topic_a").alias("a"), F.col("topic_b").alias("b"), (1 - F.col("similarity")).alias("d"))
-        steps = running_number(cut_lineage(_small_hierarchy(pairs)), [F.col("d"), F.col("a"), F.col("b")], "step")
-        return steps.select(
-            "step", F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), F.col("d").alias("distance"), F.col("n").alias("size")
-        )
     pairs = cut_lineage(
         start.select(
             F.col("topic_a").alias("a"),
@@ -347,6 +320,6 @@ def topic_hierarchy(centroids: DataFrame, small: int = SMALL_HIERARCHY) -> DataF
         return spark.createDataFrame([], "step int, topic_a int, topic_b int, distance double, size long")
     steps = running_number(done, [F.col("d"), F.col("a"), F.col("b")], "step")
     return steps.select(
-        "step", F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), F.col("d").alias("distance"),
+        F.col("step").cast("int").alias("step"), F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), F.col("d").alias("distance"),
         (F.col("na") + F.col("nb")).alias("size"),
     )

@@ -86,7 +86,7 @@ def load_texts_column(spark, sf_dir):
 
 @query
 def first_rows(spark, sf_dir):
-    return first_n(posts(spark, sf_dir), 1000).select("id", F.length("text").alias("n"))
+    return first_n(posts(spark, sf_dir), 137).select("id", F.length("text").alias("n"))
 
 
 @query

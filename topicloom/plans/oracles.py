@@ -221,7 +221,7 @@ REPRESENTED = (
     "FROM own JOIN scored USING (topic, term) GROUP BY ALL), "
     "rep AS (SELECT topic, doc_id, round(CASE WHEN d2 * t2 > 0 THEN dot / (sqrt(d2) * sqrt(t2)) ELSE 0 END, 10) AS similarity, "
     "CAST(row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank "
-    "FROM dots JOIN len USING (topic))"
+    f"FROM ({CLASSED}) LEFT JOIN dots USING (doc_id, topic) LEFT JOIN len USING (topic))"
 )
 
 
@@ -258,7 +258,7 @@ def all_sql() -> dict[str, str]:
     sql = {
         "load_rename_notnull": f"SELECT id, text FROM ({POSTS})",
         "load_texts_column": "SELECT conv_id, turn, text FROM conversations",
-        "first_rows": f"SELECT id, CAST(length(text) AS INTEGER) AS n FROM ({POSTS}) ORDER BY ord LIMIT 1000",
+        "first_rows": f"SELECT id, CAST(length(text) AS INTEGER) AS n FROM ({POSTS}) ORDER BY ord LIMIT 137",
         "clean_text": f"SELECT page_id, {cleaned('html')} AS text FROM pages",
         "disambiguate_ids": "SELECT CASE WHEN source = 'src0' THEN 'jobcenter_' || CAST(1 + count(*) OVER "
         "(PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS VARCHAR) ELSE source END AS id, doc_id AS ord FROM documents",

@@ -133,7 +133,7 @@ def update_topics(
 ) -> tuple[DataFrame, DataFrame]:
     """Words (topic, rank, term, score) and all scored terms for texts with topics (key, text, topic)."""
     if representation not in (None, "MMR", "KeyBERTInspired"):
-        raise ValueError(f"Unknown model: {representation}")
+        raise ValueError(f"no representation named {representation!r}; choose MaximalMarginalRelevance, KeyBERTInspired or None")
     counts = tm.count_terms(texts, "text", "topic", stopwords, ngram_range, min_df, max_features)
     counts = cut_lineage(counts)
     if not counts.take(1):

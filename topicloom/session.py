@@ -20,6 +20,7 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "topicloom"
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix=f"{name}-"))
         .getOrCreate()
     )
 
@@ -27,18 +28,16 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "topicloom"
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make sure a checkpoint folder is set.
 
-    On a cluster the folder must be shared and is read from
-    ``spark.checkpoint.dir``.  Only a local master, where every task runs on
-    this machine, falls back to a temporary folder.
+    The folder must be shared by the driver and all executors and is read from
+    ``spark.checkpoint.dir``.  Where that is unset, a folder in the warehouse, which
+    they share too, takes its place.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="topicloom-checkpoint-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/topicloom-tables"
     sc.setCheckpointDir(folder)
 
 

@@ -24,7 +24,7 @@ LAYOUTS = {
 def _format_of(path: str) -> str:
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix not in FORMATS:
-        raise ValueError(f"Unsupported file type: {suffix!r}; known are {sorted(FORMATS)}")
+        raise ValueError(f"cannot read {suffix!r}; these endings can be read: {sorted(FORMATS)}")
     return FORMATS[suffix]
 
 
@@ -66,7 +66,7 @@ def load_posts(
         layout = LAYOUTS[layout]
     fmt = _format_of(path)
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"File {path} does not exist.")
+        raise FileNotFoundError(f"nothing is stored at {path}")
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
@@ -79,7 +79,7 @@ def write_texts(df: DataFrame, path: str) -> None:
 
 def load_texts(spark: SparkSession, path: str) -> DataFrame:
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"File {path} does not exist.")
+        raise FileNotFoundError(f"nothing is stored at {path}")
     return spark.read.parquet(path)
 
 
