@@ -141,9 +141,11 @@ WITH d AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), spots AS (
-  SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i,
+    unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram
+  FROM d WHERE len(w) >= 3
 ), grams AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM spots
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM spots
 ), rep AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
   FROM grams, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY doc_id
