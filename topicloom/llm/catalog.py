@@ -142,7 +142,7 @@ WITH d AS (
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), spots AS (
   SELECT doc_id, unnest(range(1, len(w) - 1)) AS i,
-    unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram
+    unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram
   FROM d WHERE len(w) >= 3
 ), grams AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM spots
