@@ -121,7 +121,7 @@ def _longest_rise(values: np.ndarray) -> int:
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
-    """gid, h1, h2, size, sketches, shingles of the rows (gid, text)."""
+    """k, h1, h2 (a fingerprint of all words), size, sketches of the rows (k, text) that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -270,10 +270,10 @@ def near_texts(table: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """key, class_id, kept: one row per row of ``table``.
 
     Texts whose similarity is at least 0.8 are in one class, and so is what is
-    connected by such pairs; ``class_id`` is the class's smallest key.  Case of A to Z and white space make no difference.  Null
-    texts and texts without words are classes of their own, and so are rows with a
-    null key.  ``kept`` marks the rows whose key is their class: one per class, unless
-    a key repeats.
+    connected by such pairs; ``class_id`` is the class's smallest key.  Case of A to Z
+    and white space make no difference.  Null texts and texts without words are
+    classes of their own, and so are rows with a null key.  ``kept`` marks the rows
+    whose key is their class: one per class, unless a key repeats.
 
     Texts with equal words are one representative.  Representatives that share a
     sketch meet the smallest of their bucket first.  What that leaves in a bucket
