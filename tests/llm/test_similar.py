@@ -167,6 +167,27 @@ def test_whole_copies(spark):
     assert {r.doc_id: r.text for r in repeats.remove_spans(table, repeats.repeated_spans(table)).collect()} == {1: text, 2: "", 3: "", 9: ""}
 
 
+def test_repeats_across_line_breaks(spark):
+    """Passages with line breaks inside, that begin and end within lines, are found whole."""
+    draw = random.Random(12)
+    rows, planted = [], {}
+    for g in range(40):
+        size = 69 if g == 0 else draw.randint(51, 110)
+        words = text_of(draw, size).split()
+        cuts = {12, 57} if g == 0 else set(draw.sample(range(1, size), draw.randint(1, 8)))
+        passage = "".join(w + ("\n" if i + 1 in cuts else " ") for i, w in enumerate(words)).strip()
+        for i in (2 * g, 2 * g + 1):
+            before, after = f"æ{i} " + text_of(draw, 59) + " ", f" {i}z " + text_of(draw, 60)
+            rows.append((i, before + passage + after))
+            planted[i] = (len(before), len(passage), size)
+    got = {r.doc_id: r for r in repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert sorted(got) == list(range(1, 80, 2))
+    for i, r in got.items():
+        start, length, size = planted[i]
+        # a neighbour may be equal by chance
+        assert r.start <= start and r.start + r.length >= start + length and size <= r.n_words <= size + 1 and r.first_doc_id == i - 1
+
+
 def vector_rows():
     draw = np.random.default_rng(4)
     rows, key = [], 0
