@@ -188,6 +188,19 @@ def test_repeats_across_line_breaks(spark):
         assert r.start <= start and r.start + r.length >= start + length and size <= r.n_words <= size + 1 and r.first_doc_id == i - 1
 
 
+def test_rows_of_known_lines_stay(spark):
+    """Text whose pieces all occurred before, but in other places and orders, is no repeated passage."""
+    draw = random.Random(13)
+    lines = [text_of(draw, 4) for _ in range(60)]
+    shared = [text_of(draw, 30) for _ in range(4)]
+    rows = [(i, text_of(draw, 30) + "\n" + line + "\n" + text_of(draw, 30)) for i, line in enumerate(lines)]
+    rows += [(100 + i, text_of(draw, 40) + " " + words + " " + text_of(draw, 40)) for i, words in enumerate(shared)]
+    rows.append((200, "\n".join(draw.sample(lines, 60))))
+    rows.append((201, " ".join(shared)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeats.repeated_spans(table).count() == 0
+
+
 def vector_rows():
     draw = np.random.default_rng(4)
     rows, key = [], 0
