@@ -74,6 +74,20 @@ def test_training_learns():
     assert model.log10_table()[triples].mean() > before + 0.3
 
 
+def test_training_passes_over_all_examples():
+    triples, noise = np.arange(450_000), np.full(lm.CLASSES, 1 / lm.CLASSES)
+    seen = []
+
+    class Watched(lm.Model):
+        def predictions(self, earlier, before):
+            seen.append(earlier * lm.CLASSES + before)
+            return super().predictions(earlier, before)
+
+    Watched(noise).train(triples, np.ones(len(triples)), 0)
+    assert len(seen) * lm.BATCH >= len(triples)
+    assert set(np.concatenate(seen)) == set(triples // lm.CLASSES)
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, texts = docs.columns, {r.doc_id: r.text for r in docs.collect()}

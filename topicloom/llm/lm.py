@@ -7,9 +7,9 @@ score is its product with that vector plus a bias.  Within a class, words are
 predicted by smoothed counts, so probabilities over all words, with one unknown
 word per class, add up to 1.
 
-Counts and training examples are taken from all training texts.  Training runs on
-the counts of class triples in several parts, whose parameters are averaged after
-each round.
+Counts and training examples are taken from all training texts.  Training passes over
+the counts of all class triples in parts, whose number grows with the counts and
+whose parameters are averaged after each round.  The number of classes is fixed.
 """
 
 from __future__ import annotations
@@ -34,7 +34,10 @@ CLASSES = 1 + WORD_CLASSES + ENDING_CLASSES + OTHER_CLASSES
 #: Words whose counts are sent to every task, 12 bytes each; the rest are joined.
 BROADCAST_WORDS = 1 << 18
 
-#: Length of the vectors, and the training: parts, rounds, examples and noise classes per step.
+#: Tokens that one training example stands for, and examples of one part, both at most about.
+EXAMPLE_TOKENS, PART_EXAMPLES = 64, 1_000_000
+
+#: Length of the vectors, and the training: least number of parts, rounds, examples and noise classes per step.
 DIMENSIONS, PARTS, ROUNDS, BATCH, NOISE = 24, 8, 3, 2048, 64
 
 _LOWER = np.arange(256, dtype=np.int64)
@@ -118,10 +121,10 @@ class Model:
         return table.reshape(-1)
 
     def train(self, triples: np.ndarray, counts: np.ndarray, seed: int) -> None:
-        """Noise-contrastive estimation with AdaGrad; examples are drawn in proportion to their counts."""
+        """Noise-contrastive estimation with AdaGrad: about four passes over all examples, weighted by their counts, or more if they are few."""
         draw = np.random.default_rng(seed)
-        share = np.cumsum(counts / counts.sum())
-        steps = int(min(200, 60 + len(triples) // 2000))
+        weights = counts / counts.mean()
+        order, at = draw.permutation(len(triples)), 0
         log_noise = np.log(NOISE * self.noise)
         noise_share = np.cumsum(self.noise)
         size = {n: np.full(getattr(self, n).shape, 1e-3) for n in self.NAMES}
@@ -135,13 +138,15 @@ class Model:
         def sigmoid(x: np.ndarray) -> np.ndarray:
             return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-        for _ in range(steps):
-            chosen = triples[np.minimum(np.searchsorted(share, draw.random(BATCH)), len(triples) - 1)]
+        for _ in range(60 + len(triples) // 500):
+            taken = order[np.arange(at, at + BATCH) % len(order)]
+            at += BATCH
+            chosen, weight = triples[taken], weights[taken]
             own, before, earlier = chosen % CLASSES, chosen // CLASSES % CLASSES, chosen // CLASSES**2
             false = np.minimum(np.searchsorted(noise_share, draw.random(NOISE)), CLASSES - 1)
             q = self.predictions(earlier, before)
-            up = 1 - sigmoid((q * self.target[own]).sum(1) + self.bias[own] - log_noise[own])
-            down = -sigmoid(q @ self.target[false].T + self.bias[false] - log_noise[false])
+            up = weight * (1 - sigmoid((q * self.target[own]).sum(1) + self.bias[own] - log_noise[own]))
+            down = -weight[:, None] * sigmoid(q @ self.target[false].T + self.bias[false] - log_noise[false])
             dq = (up[:, None] * self.target[own] + down @ self.target[false]) / BATCH
             grow, shrink = up[:, None] * q / BATCH, down.T @ q / BATCH
             bias = np.concatenate([up, down.sum(0)]) / BATCH
@@ -189,14 +194,21 @@ def _count_triples(texts: DataFrame, classes: Classes) -> DataFrame:
     return made.groupBy("triple").agg(F.sum("n").alias("n"))
 
 
+def examples(triples: DataFrame) -> DataFrame:
+    """triple, copy, n: every triple as often as EXAMPLE_TOKENS goes into its count, the count dealt out evenly."""
+    times = F.ceil(F.col("n") / EXAMPLE_TOKENS)
+    return triples.select("triple", F.explode(F.sequence(F.lit(1), times)).alias("copy"), (F.col("n") / times).alias("n"))
+
+
 def train(triples: DataFrame, noise: np.ndarray) -> Model:
     """The model after some rounds of training in parts and averaging.
 
-    Triples are bounded by CLASSES ** 3, and so is a part; what a part sends back
-    is one vector of parameters.
+    Parts and steps grow with the number of examples, so with the tokens; what a
+    part sends back is one vector of parameters.
     """
     model = Model(noise)
-    parts = triples.repartition(PARTS, "triple")
+    number = triples.agg(F.coalesce(F.sum(F.ceil(F.col("n") / EXAMPLE_TOKENS)), F.lit(0))).first()[0]
+    parts = examples(triples).repartition(max(PARTS, math.ceil(number / PART_EXAMPLES)), "triple", "copy")
     for number in range(ROUNDS):
         start = model.vector()
 
@@ -206,7 +218,8 @@ def train(triples: DataFrame, noise: np.ndarray) -> Model:
             if not len(triple):
                 return
             n = np.concatenate([b.column("n").to_numpy() for b in rows]).astype(np.float64)
-            order = np.argsort(triple)
+            copy = np.concatenate([b.column("copy").to_numpy() for b in rows])
+            order = np.lexsort([copy, triple])
             own = Model(noise).load(start.copy())
             own.train(triple[order], n[order], seed=number)
             yield pa.RecordBatch.from_arrays([pa.array([n.sum()]), pa.array([own.vector()])], names=["weight", "theta"])
