@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat, lm, mixing, neardup, packing, quality, repeats, sharding, tokens, vectors
+from topicloom.llm import chat, codes, lm, mixing, neardup, packing, pieces, quality, repeats, runs, sharding, tokens, vectors
+from topicloom.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -197,3 +199,100 @@ def op9_near_vectors(spark, sf_dir):
 @query
 def op10_near_texts(spark, sf_dir):
     return neardup.near_texts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    made, books = codes.compress(read(spark, sf_dir, "embeddings"))
+    made = cut_lineage(made)
+    digest = hashlib.sha256(",".join(str(x) for x in books.reshape(-1).tolist()).encode()).hexdigest()
+    per_label = made.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    return made.join(per_label, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "vec_id",
+        F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(digest).alias("codebooks_sha256"),
+    )
+
+
+def _code_rounds(rounds: int) -> str:
+    """Common tables a0, c1, a1, ... of the assignments and codebooks of parts of four components."""
+    gap = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(4))
+    sql = []
+    for r in range(rounds + 1):
+        sql.append(f"""a{r} AS (
+  SELECT p.vec_id, p.part, min({{'d': ({gap})::BIGINT, 'entry': c.entry}}) AS best, any_value(p.x0) AS x0, any_value(p.x1) AS x1,
+    any_value(p.x2) AS x2, any_value(p.x3) AS x3
+  FROM p JOIN c{r} c USING (part) GROUP BY p.vec_id, p.part)""")
+        mean = ", ".join(f"coalesce(floor(sum(a.x{i}) / count(a.vec_id)), any_value(c.x{i}))::BIGINT AS x{i}" for i in range(4))
+        sql.append(f"""c{r + 1} AS (
+  SELECT c.part, c.entry, {mean} FROM c{r} c LEFT JOIN a{r} a ON a.part = c.part AND a.best.entry = c.entry GROUP BY c.part, c.entry)""")
+    return ", ".join(sql[:-1])
+
+
+_SQL["op11_vector_codes"] = f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS rn
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+), p AS (
+  SELECT vec_id, rn, part, v[4 * part + 1] AS x0, v[4 * part + 2] AS x1, v[4 * part + 3] AS x2, v[4 * part + 4] AS x3
+  FROM k, range(16) AS parts(part)
+), c0 AS (SELECT part, rn AS entry, x0, x1, x2, x3 FROM p WHERE rn < 64), {_code_rounds(2)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY vec_id
+), labelled AS (
+  SELECT coded.*, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error FROM coded JOIN k USING (vec_id)
+), digest AS (
+  SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2
+)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM labelled, digest
+"""
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_digests(runs.periodic_runs(plant_runs(docs)))
+
+
+def plant_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by a hash of its id, goes on with a repeated stretch of its words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.withColumn("_h", h).withColumn("_g", F.floor(F.col("_h") / 10))
+    worded = F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = rows.withColumn("_w", worded).withColumn("_n", F.size("_w").cast("long"))
+    rows = rows.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    rows = rows.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    rest = (F.col("_n") - F.col("_a")).cast("int")
+    piece = F.slice("_w", F.col("_a").cast("int") + 1, F.col("_p").cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(piece, F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("_a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("_best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_best.start")).alias("start"),
+        F.col("_best.length").alias("length"),
+        (-F.col("_best.period")).alias("period"),
+        F.floor(1000 * F.col("_best.length") / -F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_sentence_pieces(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return pieces.decode_ids(encoded, path).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
