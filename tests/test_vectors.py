@@ -184,3 +184,53 @@ def test_clusters_do_not_depend_on_blocks(spark):
         for p, b in ((1, 4096), (5, 20))
     ]
     assert runs[0] == runs[1]
+
+
+def tree_of(draw, n, shape):
+    """(head, above, stability) of a binary tree of ``n`` clusters under a root -1."""
+    rows, ends, number = [], [-1], 0
+    while number < n:
+        above = ends.pop(-1 if shape == "chain" else draw.integers(len(ends)))
+        for _ in range(2):
+            rows.append((number, above, float(draw.integers(1, 40))))
+            ends.append(number)
+            number += 1
+    return rows
+
+
+def selected(rows):
+    """The highest kept cluster at or above each one, bottom up and top down."""
+    kids, below, label = {}, {}, {}
+    for head, above, _ in rows:
+        kids.setdefault(above, []).append(head)
+    value = {}
+    for head, _, stability in reversed(rows):
+        below[head] = sum(value[k] for k in kids.get(head, []))
+        value[head] = max(stability, below[head])
+    for head, above, stability in rows:
+        label[head] = label.get(above, None) if label.get(above, None) is not None else (head if stability >= below[head] else None)
+    return {h: x for h, x in label.items() if x is not None}
+
+
+@pytest.mark.parametrize("n,shape", [(2, "chain"), (40, "bush"), (300, "bush"), (301, "chain")])
+def test_excess_of_mass_equals_brute_force(spark, n, shape):
+    rows = tree_of(np.random.default_rng(n), n, shape)
+    stable = spark.createDataFrame(rows, "head long, above long, stability double").repartition(4)
+    assert {r.head: r.label for r in cl.excess_of_mass(stable).collect()} == selected(rows)
+
+
+def test_rounds_grow_with_the_logarithm_of_the_depth(spark):
+    rows, steps = tree_of(np.random.default_rng(1), 20_000, "chain"), []  # 10,000 levels
+    stable = spark.createDataFrame(rows, "head long, above long, stability double")
+    assert {r.head: r.label for r in cl.excess_of_mass(stable, steps).collect()} == selected(rows)
+    assert steps[0] <= 2 * 16
+
+
+def test_clusters_do_not_depend_on_the_parts_of_the_tree(spark):
+    rng = np.random.default_rng(12)
+    df = frame(spark, np.vstack([rng.normal(size=(25, 2)) + c for c in ([0, 0], [9, 0], [0, 9])]))
+    runs = [
+        sorted((r.id, r.topic, round(r.prob, 9)) for r in cl.cluster_hdbscan(df, 5, 3, "id", "e", merge_edges=m).collect())
+        for m in (50_000, 20)
+    ]
+    assert runs[0] == runs[1] and len({t for _, t, _ in runs[0]}) >= 3

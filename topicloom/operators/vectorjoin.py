@@ -162,12 +162,14 @@ def visits(
                 open_ = np.zeros_like(d, dtype=bool)
                 np.put_along_axis(open_, order, True, axis=1)
             open_ &= (radii >= 0)[None, :]
-            targets = []
-            for i, home in enumerate(b["home"].to_numpy()):
-                ids = [
-                    (int(c) << 32) + block for c in np.nonzero(open_[i])[0] for block in range(int(n_blocks[c]))
-                ]
-                targets.append(ids if include_home else [t for t in ids if t != home])
+            row, cell = np.nonzero(open_)
+            times = n_blocks[cell]
+            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, target = np.repeat(row, times), (np.repeat(cell, times) << 32) + block
+            if not include_home:
+                away = target != b["home"].to_numpy()[row]
+                row, target = row[away], target[away]
+            targets = np.split(target, np.searchsorted(row, np.arange(1, len(b))))
             yield b.assign(targets=targets)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
