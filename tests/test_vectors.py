@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import hdbscan_brute, mst_brute
+from topicloom.session import cut_lineage
 from topicloom.operators import cluster as cl
 from topicloom.operators import encode as en
 from topicloom.operators import reduce as rd
@@ -113,19 +114,52 @@ def test_rescale(spark):
     assert [r.e for r in rd.rescale_init(df, "e").orderBy("id").collect()] == [pytest.approx([1e-4, 5e-4]), pytest.approx([3e-4, 7e-4])]
 
 
-@pytest.mark.parametrize("layout_rows", [20_000, 80])
-def test_layout_keeps_groups_apart(spark, layout_rows):
+def test_layout(spark):
+    """Groups stay apart, neighbours stay near, and positions do not depend on blocks or partitions."""
     rng = np.random.default_rng(3)
     v = np.vstack([rng.normal(size=(50, 10)) + c for c in rng.normal(size=(4, 10)) * 8])
     label = np.repeat(range(4), 50)
     df = frame(spark, v)
-    graph = rd.fuzzy_graph(vj.knn_join(df, 9, "id", "e", "cosine"), 10, "id")
-    init = rd.reduce_pca(df, 2, "id", "e")
-    rows = rd.layout(graph, init, "id", layout_rows=layout_rows, rounds=4).orderBy("id").collect()
-    x = np.array([r.reduced for r in rows])
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    assert (label[np.argsort(d, 1)[:, :5]] == label[:, None]).mean() > 0.95
+    graph = cut_lineage(rd.fuzzy_graph(vj.knn_join(df, 9, "id", "e", "cosine"), 10, "id"))
+    init = cut_lineage(rd.reduce_pca(df, 2, "id", "e"))
+    runs = []
+    for rows, parts in ((256, 2), (30, 7)):
+        found = rd.layout(graph.repartition(parts), init.repartition(parts), "id", layout_rows=rows, rounds=6).orderBy("id").collect()
+        runs.append(np.array([r.reduced for r in found]))
+    assert (runs[0] == runs[1]).all()
+
+    def nearest(x, k):
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        return np.argsort(d, 1)[:, :k]
+
+    assert (label[nearest(runs[0], 5)] == label[:, None]).mean() > 0.99
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    start = np.array([r.reduced for r in init.orderBy("id").collect()])
+    kept = [np.mean([len(set(a) & set(b)) for a, b in zip(nearest(unit, 10), nearest(x, 10))]) for x in (start, runs[0])]
+    assert kept[1] > 4 and kept[1] > 1.3 * kept[0]
+
+
+def test_pyramid_pushes_like_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    pos = np.vstack([rng.normal(size=(150, 2)) + c for c in ([0, 0], [6, 1], [3, 8])])
+    rows = spark.createDataFrame([(i * 7919, [float(x) for x in p]) for i, p in enumerate(pos)], "h long, pos array<double>").repartition(5)
+    pyramid = rd.Pyramid(pos.min(0), pos.max(0)).fill(rows, 2, 1)
+    got, row, place, part = pyramid.around(pos, 1.9, 0.8)
+    np.add.at(got, row, rd.repel(pos[row] - place, 1.9, 0.8) * part[:, None])
+    want = rd.repel(pos[:, None] - pos[None], 1.9, 0.8).mean(1)
+    assert pyramid.n.sum() == len(pos)
+    assert np.corrcoef(got.ravel(), want.ravel())[0, 1] > 0.97
+
+
+def test_layout_of_odd_rows(spark):
+    """Copies at one place, a point without neighbours, one point, none."""
+    init = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 2.0])], "id long, reduced array<double>")
+    graph = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "a long, b long, weight double")
+    got = rd.layout(graph, init, "id", rounds=2, epochs=3).collect()
+    assert sorted(r.id for r in got) == [1, 2, 3] and all(np.isfinite(r.reduced).all() for r in got)
+    assert rd.layout(graph, init.where("id = 3"), "id", rounds=1).count() == 1
+    assert rd.layout(graph, init.limit(0), "id").count() == 0
 
 
 def test_graph_is_symmetric(spark):
