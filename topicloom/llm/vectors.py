@@ -2,8 +2,9 @@
 
 Each half of the unit vectors has its own codebook; the product of the two is a
 grid of cells.  A vector visits the cells around its own in the order of how far
-it is from them (multi-sequence traversal) and stops where the target recall is
-reached; what it meets there is verified in double precision.
+it is from them (multi-sequence traversal) and stops at the first one that lies
+beyond the distance of a link, so the target recall is 1; what it meets is verified in
+double precision.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ BLOCK_ROWS, VISITOR_ROWS = 1024, 4096
 #: Codes per half: sqrt(vectors / CELL_ROWS), at most MAX_CODES.
 CELL_ROWS, MAX_CODES = 256, 256
 
-#: How many standard deviations of a link's offset the traversal covers; 4.5 misses less than 1 of 10,000 links.
-REACH = 4.5
+#: The traversal goes this much farther than a link, against rounding.
+SLACK = 1e-9
 
 
 def units(rows: np.ndarray) -> np.ndarray:
@@ -62,21 +63,34 @@ def offsets(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def traverse(points: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Own cell of each point, then (point, cell) for all cells within ``reach`` that come after the own one, nearest first."""
+    """Own cell of each point, then (point, cell) for all cells within ``reach`` that come after the own one, nearest first.
+
+    The codes of each half are walked from near to far.  The distance to a cell is at
+    least that to the borders of both its codes, so the walk over the first half ends
+    where its code alone is too far, and for each of its codes the walk over the second
+    half ends where both together are; no other cell is looked at.
+    """
     half = len(books[0][0])
     (a, da), (b, db) = offsets(points[:, :half], books[0]), offsets(points[:, half:], books[1])
-    own = a * len(books[1]) + b
+    own, limit = a * len(books[1]) + b, reach * reach
+    near_a, near_b = np.argsort(da, axis=1, kind="stable"), np.argsort(db, axis=1, kind="stable")
+    da, db = np.take_along_axis(da, near_a, 1), np.take_along_axis(db, near_b, 1)
     at, cells = [], []
-    step = max(1, 4_000_000 // (len(books[0]) * len(books[1])))
-    for i in range(0, len(points), step):
-        total = (da[i : i + step, :, None] + db[i : i + step, None, :]).reshape(-1, len(books[0]) * len(books[1]))
-        row, cell = np.nonzero(total <= reach * reach)
-        after = cell > own[i + row]
-        row, cell = row[after], cell[after]
-        order = np.lexsort((total[row, cell], row))
-        at.append(i + row[order])
-        cells.append(cell[order])
-    return own, np.concatenate(at), np.concatenate(cells)
+    for step in range(da.shape[1]):
+        rows = np.flatnonzero(da[:, step] <= limit)
+        if not len(rows):
+            break
+        left = limit - da[rows, step]
+        many = (db[rows] <= left[:, None]).sum(axis=1)
+        row = np.repeat(rows, many)
+        second = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        cell = near_a[row, step] * len(books[1]) + near_b[row, second]
+        after = cell > own[row]
+        at.append(np.stack([row[after], cell[after]]))
+        cells.append((da[row, step] + db[row, second])[after])
+    (row, cell), far = np.concatenate(at, axis=1), np.concatenate(cells)
+    order = np.lexsort((far, row))
+    return own, row[order], cell[order]
 
 
 def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,7 +125,7 @@ def usable(vector: Column) -> Column:
 
 
 def near_vectors(
-    table: DataFrame, threshold: float = 0.98, key: str = "vec_id", label: str = "label", vector: str = "embedding", reach: float = REACH
+    table: DataFrame, threshold: float = 0.98, key: str = "vec_id", label: str = "label", vector: str = "embedding"
 ) -> DataFrame:
     """key, n_links, component_id, kept: one row per row of ``table``.
 
@@ -132,7 +146,7 @@ def near_vectors(
     copies = cut_lineage(copies.withColumn("dims", F.size("vec")).withColumn("gid", F.monotonically_increasing_id()))
 
     total, dims = copies.agg(F.count(F.lit(1)), F.max("dims")).first()
-    linked = _links(copies, total, dims or 1, threshold, reach)
+    linked = _links(copies, total, dims or 1, threshold)
     linked = cut_lineage(linked)
     counts = linked.groupBy("gid").agg(F.sum("links").alias("links"))
     comps = components(linked.select(F.col("gid").alias("u"), F.col("root").alias("v")))
@@ -153,7 +167,7 @@ def near_vectors(
     )
 
 
-def _links(copies: DataFrame, total: int, dims: int, threshold: float, reach: float) -> DataFrame:
+def _links(copies: DataFrame, total: int, dims: int, threshold: float) -> DataFrame:
     """gid, links, root: for each block that a vector is in, its links there and the vector that connects it."""
     spark = copies.sparkSession
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
@@ -176,8 +190,7 @@ def _links(copies: DataFrame, total: int, dims: int, threshold: float, reach: fl
                 at = np.flatnonzero(n == d)
                 points = np.zeros((len(at), width))
                 points[:, :d] = units(_matrix(batch.column("vec").take(pa.array(at))))
-                # a link's offset from a border is, along one direction, radius / sqrt(d) in the mean square
-                home, row, cell = traverse(points, books, radius * min(1.0, reach / math.sqrt(d)))
+                home, row, cell = traverse(points, books, radius * (1 + SLACK) + SLACK)
                 own[at] = home
                 cuts = np.searchsorted(row, np.arange(len(at) + 1))
                 for i, j in enumerate(at):
