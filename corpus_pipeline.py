@@ -30,13 +30,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one has; n_chars follows the text."""
     cleaned = repeats.remove_spans(docs, repeats.repeated_spans(docs))
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample in which sources, languages and kinds of text have their target shares of the words."""
-    mixed = mixing.mix(mixing.with_topic(docs), MIX)
-    return mixed.where("sampled").select(*docs.columns)
+    # mixed beside the whole row, so that no column of it is replaced
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "lang", "text")
+    mixed = mixing.mix(mixing.with_topic(rows).drop("text"), MIX)
+    return mixed.where("sampled").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from pyspark.sql import functions as F
 from topicloom.llm import lm
 
 DOCS = "doc_id long, text string, score string"
@@ -134,3 +135,18 @@ def test_native_plans(spark, sf_dir):
 def test_corpus_queries(spark, sf_dir):
     found = entry.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in found)] == [] and "pipeline" in found
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Extra columns named like helpers and results come through every stage but the last as they are."""
+    names = ["n_words", "failed", "kept", "_kept", "_text", "body", "row", "nth", "_nth", "spans", "span_key", "text_hash", "_key",
+             "_level_0", "level_0", "topic", "n_tokens", "probability", "sampled", "k", "odd name"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    docs = docs.unionByName(docs.where("doc_id = 3").withColumn("text", F.lit("another text under one id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, sf_dir)
+        assert made.columns == docs.columns, name
+        rows = made.collect()
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names), name
+    assert corpus_pipeline.packed(spark, docs, sf_dir).count() > 0

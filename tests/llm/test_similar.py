@@ -257,6 +257,57 @@ def test_recall_of_the_index(spark):
     assert true > 300 and 0.99 * true <= found <= true
 
 
+def circle(draw, n, dims):
+    angle = draw.uniform(0, 2 * np.pi, n)
+    points = np.zeros((n, dims))
+    points[:, 0], points[:, dims // 2] = np.cos(angle), np.sin(angle)
+    return points @ np.linalg.qr(draw.normal(size=(dims, dims)))[0]
+
+
+def factors(draw, n, dims):
+    return draw.normal(size=(n, 3)) @ draw.normal(size=(3, dims))
+
+
+@pytest.mark.parametrize("shape", [circle, factors])
+@pytest.mark.parametrize("dims,codes", [(64, 2), (64, 16), (384, 64), (768, 32)])
+def test_no_link_is_lost_on_vectors_of_low_rank(shape, dims, codes):
+    """Every pair at 0.98 meets in a cell, however few directions the vectors fill."""
+    points = vectors.units(shape(np.random.default_rng(dims), 700, dims))
+    half = dims // 2
+    books = vectors.fit_codes(points[:, :half], codes), vectors.fit_codes(points[:, half:], codes)
+    own, row, cell = vectors.traverse(points, books, np.sqrt(2 - 2 * 0.98) * (1 + vectors.SLACK))
+    met = own[:, None] == own[None]
+    for r, c in zip(row.tolist(), cell.tolist()):
+        met[r] |= own == c
+    linked = points @ points.T >= 0.98
+    assert linked.sum() > 2000 and (met | met.T)[linked].all()
+
+
+def test_links_of_low_rank_vectors_through_spark(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 2)  # some 17 codes a half
+    points = circle(np.random.default_rng(5), 600, 64).astype(np.float32)
+    table = spark.createDataFrame([(i, p.tolist(), 0) for i, p in enumerate(points)], "vec_id long, embedding array<float>, label int")
+    unit = vectors.units(points)
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert {r.vec_id: r.n_links for r in vectors.near_vectors(table).collect()} == dict(enumerate(links.tolist()))
+
+
+def test_one_key_on_several_texts(spark):
+    draw = random.Random(12)
+    shared, own, other = text_of(draw, 70), text_of(draw, 30), text_of(draw, 120)
+    rows = [(1, f"{shared} {text_of(draw, 20)}"), (2, f"{own} {shared}"), (2, other), (2, None), (None, f"{shared} x")]
+    for parts in (1, 4):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = repeats.remove_spans(table, repeats.repeated_spans(table)).collect()
+        assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in got) == sorted(
+            [(0, f"{shared} x"), (1, rows[0][1]), (2, own), (2, other), (2, "")])
+    a, b = text_of(draw, 100), text_of(draw, 100)
+    rows = [(5, a), (5, b), (9, edited(draw, a, 1)), (12, edited(draw, b, 1)), (13, text_of(draw, 80))]
+    for parts in (1, 2, 5):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted((r.doc_id, r.class_id) for r in neardup.near_texts(table).collect()) == [(5, 5), (5, 5), (9, 5), (12, 5), (13, 13)]
+
+
 def test_components(spark):
     draw = random.Random(3)
     pairs = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(draw.randrange(2000, 2200), draw.randrange(2000, 2200)) for _ in range(120)]

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.llm.names import free_name
 from topicloom.session import cut_lineage
 
 #: A target for one dimension: shares by value, or an exponent that flattens (below 1) the shares as they are.
@@ -25,7 +26,11 @@ KIND = """CASE WHEN 20 * (length(text) - length(replace(text, '|', ''))) > n_tok
 
 
 def with_topic(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_tokens (words) and topic (the kind of text).  A null text counts as an empty one; the text itself stays."""
+    """``docs`` with n_tokens (words) and topic, which is the kind of text: what it is made of and how long it is, not what it is about.
+
+    A null text counts as an empty one; the text itself stays.  Columns named like a
+    result are replaced.
+    """
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     counted = docs.withColumn("n_tokens", words.cast("long"))
     return counted.withColumn("topic", F.expr(KIND.replace("text", "coalesce(text, '')")))
@@ -104,7 +109,7 @@ def mix(
     named probability or sampled are replaced.
     """
     table = table.drop("probability", "sampled")
-    dims = [f"_level_{i}" for i in range(len(targets))]
+    dims = [free_name(table, f"level_{i}") for i in range(len(targets))]
     levels = table.select("*", *[_level(name).alias(dim) for name, dim in zip(targets, dims)])
     size = F.coalesce(F.col(f"`{tokens}`"), F.lit(0)).cast("double")
     cells = cut_lineage(levels.groupBy(*dims).agg(F.sum(size).alias("tokens")))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.components import components
+from topicloom.llm.names import free_name
 from topicloom.llm.words import Hasher, find_words, mix, seeds, signed, text_pieces, windows
 from topicloom.session import cut_lineage
 
@@ -273,7 +274,8 @@ def near_texts(table: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     connected by such pairs; ``class_id`` is the class's smallest key.  Case of A to Z
     and white space make no difference.  Null texts and texts without words are
     classes of their own, and so are rows with a null key.  ``kept`` marks the rows
-    whose key is their class: one per class, unless a key repeats.
+    whose key is their class: one per class, unless a key repeats.  Rows with one key
+    and different texts are compared each with its own text.
 
     Texts with equal words are one representative.  Representatives that share a
     sketch meet the smallest of their bucket first.  What that leaves in a bucket
@@ -282,10 +284,11 @@ def near_texts(table: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     and no pair of a bucket is left out.
     """
     k, body = F.col(f"`{key}`"), F.col(f"`{text}`")
-    rows = table.select(k.alias("k"), body.alias("text"))
+    rows = table.select(k.alias("k"), body.alias("text"), F.xxhash64(body).alias("t"))
     has_word = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)) & F.col("k").isNotNull()
     worded = rows.where(has_word)
-    sketched = cut_lineage(_sketched(worded))
+    # a key may stand on rows with different texts, so a row is known by both
+    sketched = cut_lineage(_sketched(worded.select(F.struct("k", "t").alias("k"), "text")))
     copies = sketched.groupBy("h1", "h2", "size").agg(F.min("k").alias("rep"), F.any_value("sketches").alias("sketches"))
     copies = cut_lineage(copies.withColumn("gid", F.monotonically_increasing_id()))
 
@@ -297,7 +300,8 @@ def near_texts(table: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     # the texts that share a sketch with another one, with their shingles
     wanted = members.select("gid").distinct().join(copies.select("gid", "rep", "sketches"), "gid")
-    again = worded.join(wanted.withColumnRenamed("rep", "k"), "k").dropDuplicates(["gid"]).select("gid", "sketches", "text")
+    wanted = wanted.select("gid", "sketches", "rep.k", "rep.t")
+    again = worded.join(wanted, ["k", "t"]).dropDuplicates(["gid"]).select("gid", "sketches", "text")
     bodies = cut_lineage(_shingled(again))
 
     first_band = F.lit(0).alias("band")
@@ -316,11 +320,11 @@ def near_texts(table: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     comps = components(known.unionByName(more)).withColumnRenamed("vertex", "gid")
 
     named = comps.join(copies.select("gid", "rep"), "gid")
-    lowest = named.groupBy("comp").agg(F.min("rep").alias("low"))
-    classes = copies.select("gid", "rep", "h1", "h2", "size").join(
+    lowest = named.groupBy("comp").agg(F.min("rep.k").alias("low"))
+    classes = copies.select("gid", F.col("rep.k").alias("rep"), "h1", "h2", "size").join(
         comps.join(lowest, "comp").select("gid", "low"), "gid", "left"
     ).select("h1", "h2", "size", F.coalesce("low", "rep").alias("class_id"))
-    found = sketched.select("k", "h1", "h2", "size").join(classes, ["h1", "h2", "size"]).select("k", "class_id")
+    found = sketched.select("k.k", "h1", "h2", "size").join(classes, ["h1", "h2", "size"]).select("k", "class_id")
     bare = rows.where(~has_word).select("k", F.col("k").alias("class_id"))
     return found.unionByName(bare).select(
         F.col("k").alias(key), "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.lit(True)).alias("kept")
@@ -330,7 +334,8 @@ def near_texts(table: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def drop_near_copies(table: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``table`` with one of each class: the one with the smallest key, once if it repeats.  Null keys stay."""
     chosen = near_texts(table, key, text).where(F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
+    nth = free_name(table, "nth")
     rows = table.join(chosen, key, "left_semi").select(*[F.col(f"`{c}`") for c in table.columns])
     same = Window.partitionBy(f"`{key}`", F.md5(f"`{text}`")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in table.columns]))
-    once = rows.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
+    once = rows.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).drop(nth)
     return once.unionByName(table.where(F.col(f"`{key}`").isNull()))

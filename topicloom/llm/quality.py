@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from topicloom.llm.names import free_name
 from topicloom.llm.words import Hasher, find_words, text_pieces, windows
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long"
@@ -54,7 +56,8 @@ def measure(table: DataFrame, text: str = "text", keep_text: bool = False) -> Da
     keep = table.drop(*names)
     others = [c for c in keep.columns if c != text or keep_text]
     fields = [keep.schema[c] for c in others]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema = StructType([StructField(f.name, f.dataType) for f in fields] + [StructField(name, LongType()) for name in names])
+    body = free_name(keep, "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=False)
@@ -64,7 +67,7 @@ def measure(table: DataFrame, text: str = "text", keep_text: bool = False) -> Da
         upper[65:91] = True
         letter = upper.copy()
         letter[97:123] = True
-        for piece in text_pieces(batches, "_text"):
+        for piece in text_pieces(batches, body):
             texts = piece.column(piece.num_columns - 1)
             w = find_words(texts)
             solid = np.concatenate([[0], np.cumsum((w.raw & 0xC0) != 0x80)])
@@ -97,8 +100,8 @@ def measure(table: DataFrame, text: str = "text", keep_text: bool = False) -> Da
             kept = [piece.column(i) for i in range(piece.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(kept + [pa.array(c.astype(np.int64)) for c in columns], names=others + names)
 
-    picked = keep.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("_text"))
-    return picked.mapInArrow(run, f"{head}, {MEASURES}" if head else MEASURES)
+    picked = keep.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias(body))
+    return picked.mapInArrow(run, schema)
 
 
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +175,7 @@ def ablations(ledger: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFr
 
 
 def drop_failed(table: DataFrame, policy: str | tuple[str, ...] = "v1", text: str = "text") -> DataFrame:
-    """The rows of ``table`` that fail no rule of the policy."""
-    ledger = apply_policy(rule_ledger(table, text, keep_text=True), policy, "_kept")
-    return ledger.where("_kept").select(*[F.col(f"`{c}`") for c in table.columns])
+    """The rows of ``table`` that fail no rule of the policy, with all their columns as they are, whatever their names."""
+    # measured beside the whole row, so that no column of it can be taken for a measurement
+    rows = table.select(F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return apply_policy(rule_ledger(rows), policy).where("kept").select("row.*")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.llm.names import free_name
 from topicloom.llm.words import Hasher, Words, chars_before, find_words, mix, seeds, signed, text_pieces
 from topicloom.session import cut_lineage
 
@@ -144,15 +145,16 @@ def _repeated(rows: DataFrame, size: int) -> DataFrame:
 
 
 def repeated_spans(table: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, start, length, n_words, first_key: the spans that repeat something earlier.
+    """key, start, length, n_words, first_key, text_hash: the spans that repeat something earlier.
 
     Offsets are code points of the original text.  Earlier means a smaller key, or
     an earlier place in the same text that does not overlap.  A span is made of all words of
     passages of more than ``min_words`` words that occurred before, each in one place;
     where such passages overlap or touch they are one span, and ``first_key`` is an
     earlier place of the first of them.  Null texts, texts
-    without words and null keys yield nothing and hide nothing.  Keys should be
-    unique.
+    without words and null keys yield nothing and hide nothing.  Rows with one
+    key and different texts have their own spans, told apart by ``text_hash``, the
+    xxhash64 of the text; rows equal in both are one text.
     """
     rows = table.select(F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
     found = _repeated(rows.where("k is not null and text is not null"), min_words + 1)
@@ -160,6 +162,7 @@ def repeated_spans(table: DataFrame, min_words: int = MIN_WORDS, key: str = "doc
     reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(F.col("s") <= reached, 0).otherwise(1)
     runs = found.withColumn("run", begins).withColumn("run", F.sum("run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # a key may stand on several texts, so spans name the text too
     merged = runs.groupBy("k", "t", "run").agg(
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
@@ -168,15 +171,22 @@ def repeated_spans(table: DataFrame, min_words: int = MIN_WORDS, key: str = "doc
     )
     return merged.select(
         F.col("k").alias(key), F.col("start").cast("long"), (F.col("stop") - F.col("start")).cast("long").alias("length"),
-        F.col("n_words").cast("long"), F.col("first_key").alias(f"first_{key}"),
+        F.col("n_words").cast("long"), F.col("first_key").alias(f"first_{key}"), F.col("t").alias("text_hash"),
     )
 
 
 def remove_spans(table: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``table`` with the spans (key, start, length) taken out of its texts; all rows and columns stay."""
-    lists = spans.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    joined = table.join(lists, F.col(f"`{key}`") == F.col("_key"), "left")
-    body, taken = F.col(f"`{text}`"), F.col("_spans")
+    """``table`` with the spans (key, text_hash, start, length) taken out of its texts.
+
+    All rows and columns stay, whatever their names.  A span is taken out of rows
+    with its key and its text only; null keys and null texts stay as they are.
+    """
+    k, t, lists = (free_name(table, c) for c in ("span_key", "span_text", "spans"))
+    listed = spans.groupBy(F.col(f"`{key}`").alias(k), F.col("text_hash").alias(t)).agg(
+        F.array_sort(F.collect_list(F.struct("start", "length"))).alias(lists)
+    )
+    body, taken = F.col(f"`{text}`"), F.col(lists)
+    joined = table.join(listed, (F.col(f"`{key}`") == F.col(k)) & (F.xxhash64(body) == F.col(t)), "left")
 
     def kept(i):
         stop = F.when(i == 0, F.lit(0)).otherwise(F.get(taken, i - 1)["start"] + F.get(taken, i - 1)["length"])
@@ -184,4 +194,4 @@ def remove_spans(table: DataFrame, spans: DataFrame, key: str = "doc_id", text:
         return F.substr(body, (stop + 1).cast("int"), F.greatest(F.lit(0), start - stop).cast("int"))
 
     parts = F.array_join(F.transform(F.sequence(F.lit(0), F.size(taken)), kept), "")
-    return joined.withColumn(text, F.when(taken.isNull(), body).otherwise(parts)).drop("_key", "_spans")
+    return joined.withColumn(text, F.when(taken.isNull(), body).otherwise(parts)).drop(k, t, lists)
