@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.vectors import normalise
 from topicloom.session import cut_lineage
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 # Pivots are shipped to the executors, so their number is bounded.
 MAX_PIVOTS = 4096
 # Queries compared with a block at a time.
@@ -204,7 +204,6 @@ def knn_join(
     """key, rank (1..k), neighbor, distance: the k nearest other rows, equal distances by key.
 
     Exact unless ``n_probe`` is given.  ``distance`` is Euclidean, or 1 - cosine.
-    Rows that fit one block are compared in one task.
     """
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"Unknown metric: {metric!r}")
@@ -216,14 +215,10 @@ def knn_join(
         rows = rows.select("key", "vec", unit_with_flag("vec").alias("unit")).select("key", F.col("unit").alias("vec"))
     key_type = rows.schema["key"].dataType.simpleString()
     rows = cut_lineage(rows)
-    n_rows = rows.count()
-    if n_rows <= block_rows:
-        found = _best_k(rows.groupBy(F.lit(0).alias("all")).applyInPandas(*_inside(k, key_type)), k)
-    else:
-        groups = _group_copies(rows)
-        found = _knn_distinct(groups.select(F.col("rep").alias("key"), "vec"), k, block_rows, n_probe, key_type)
-        if groups.count() < n_rows:
-            found = _expand_copies(rows, groups, found, k)
+    groups = _group_copies(rows)
+    found = _knn_distinct(groups.select(F.col("rep").alias("key"), "vec"), k, block_rows, n_probe, key_type)
+    if groups.where("copies > 1").take(1):
+        found = _expand_copies(rows, groups, found, k)
     if metric == "cosine":
         found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
     return found.select(F.col("key").alias(key), "rank", "neighbor", "distance")
@@ -258,8 +253,6 @@ def _knn_distinct(distinct: DataFrame, k: int, block_rows: int, n_probe: int | N
     cells = build_cells(distinct, block_rows)
     inside, hit = _inside(k, key_type)
     local = cells.points.groupBy("home").applyInPandas(inside, hit)
-    if len(cells.pivots) == 1 and cells.counts[0] <= block_rows:
-        return _best_k(local, k)
     local = cut_lineage(local)
 
     # the k-th distance so far; fewer than k vectors in the block give no bound
