@@ -89,6 +89,20 @@ def test_training_passes_over_all_examples():
     assert set(np.concatenate(seen)) == set(triples // lm.CLASSES)
 
 
+def test_parts_are_averaged_in_spark(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    triples = np.unique(rng.integers(0, lm.CLASSES**3, 3000))
+    table = spark.createDataFrame([(int(t), 5) for t in triples], "triple int, n long")
+    noise = np.full(lm.CLASSES, 1 / lm.CLASSES)
+    assert np.array_equal(lm.train(table, noise).vector(), lm.train(table.repartition(3), noise).vector())
+    assert np.array_equal(lm.train(table.limit(0), noise).vector(), lm.Model(noise).vector())
+    monkeypatch.setattr(lm, "PARTS", 1)
+    alone = lm.Model(noise)
+    for seed in range(lm.ROUNDS):
+        alone.train(triples, np.full(len(triples), 5.0), seed)
+    assert np.allclose(lm.train(table, noise).vector(), alone.vector(), atol=1e-9)
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, texts = docs.columns, {r.doc_id: r.text for r in docs.collect()}

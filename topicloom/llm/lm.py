@@ -40,6 +40,9 @@ EXAMPLE_TOKENS, PART_EXAMPLES = 64, 1_000_000
 #: Length of the vectors, and the training: least number of parts, rounds, examples and noise classes per step.
 DIMENSIONS, PARTS, ROUNDS, BATCH, NOISE = 24, 8, 3, 2048, 64
 
+#: Parameters are averaged as integers of this fraction; those of 4,096 and more would not fit.
+MEAN_UNIT = float(1 << 50)
+
 _LOWER = np.arange(256, dtype=np.int64)
 _LOWER[65:91] += 32
 
@@ -203,11 +206,15 @@ def examples(triples: DataFrame) -> DataFrame:
 def train(triples: DataFrame, noise: np.ndarray) -> Model:
     """The model after some rounds of training in parts and averaging.
 
-    Parts and steps grow with the number of examples, so with the tokens; what a
-    part sends back is one vector of parameters.
+    Parts and steps grow with the number of examples, so with the tokens.  The mean
+    of the parts, weighted by their tokens, is taken in Spark, one parameter to a
+    row, so the driver gets one vector however many parts there are.  Sums are of
+    integers, so their order does not matter.
     """
     model = Model(noise)
-    number = triples.agg(F.coalesce(F.sum(F.ceil(F.col("n") / EXAMPLE_TOKENS)), F.lit(0))).first()[0]
+    number, tokens = triples.agg(
+        F.coalesce(F.sum(F.ceil(F.col("n") / EXAMPLE_TOKENS)), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    ).first()
     parts = examples(triples).repartition(max(PARTS, math.ceil(number / PART_EXAMPLES)), "triple", "copy")
     for number in range(ROUNDS):
         start = model.vector()
@@ -222,14 +229,15 @@ def train(triples: DataFrame, noise: np.ndarray) -> Model:
             order = np.lexsort([copy, triple])
             own = Model(noise).load(start.copy())
             own.train(triple[order], n[order], seed=number)
-            yield pa.RecordBatch.from_arrays([pa.array([n.sum()]), pa.array([own.vector()])], names=["weight", "theta"])
+            share = n[order].sum() / tokens
+            whole = np.rint(own.vector() * (share * MEAN_UNIT)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([whole])], names=["theta"])
 
-        made = parts.mapInArrow(run, "weight double, theta array<double>").toPandas()
+        sent = parts.mapInArrow(run, "theta array<long>").select(F.posexplode("theta").alias("at", "x"))
+        made = sent.groupBy("at").agg(F.sum("x").alias("x")).toPandas()
         if not len(made):
             break
-        made = made.sort_values("weight", kind="stable")
-        weights = made["weight"].to_numpy() / made["weight"].sum()
-        model.load((np.stack(made["theta"].to_list()) * weights[:, None]).sum(0))
+        model.load(made.sort_values("at")["x"].to_numpy() / MEAN_UNIT)
     return model
 
 
