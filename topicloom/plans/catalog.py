@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import text as tx
 from topicloom.functions.fixed_values import DANISH_STOPWORDS
 from topicloom.operators import cluster as cl
+from topicloom.operators import descent as ds
 from topicloom.operators import encode as en
 from topicloom.operators import prepare as pr
 from topicloom.operators import reduce as rd
@@ -363,6 +364,12 @@ def knn_documents(spark, sf_dir):
     return found.select("doc_id", "rank", F.round("distance", 6).alias("distance"))
 
 
+@query
+def knn_descent(spark, sf_dir):
+    """Nearly the nearest 60, as the layout of a large collection asks for."""
+    return ds.knn_descent(vectors(spark, sf_dir), 60, "vec_id", metric="cosine")
+
+
 @query
 def core_distance(spark, sf_dir):
     knn = vj.knn_join(vectors(spark, sf_dir), 30, "vec_id")
