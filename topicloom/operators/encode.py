@@ -3,6 +3,7 @@
 ``embed_static``  sparse random projection of the tokens (Achlioptas 2003): every
 token has fixed +1/-1 signs taken from its hash, a text is the normalised sum.
 ``embed_texts``   a caller's batch encoder, run on Arrow batches.
+``embed_loaded``  a model that every Python worker loads once.
 ``embed_token_table``  mean of stored token vectors; ``learn_token_vectors`` makes them.
 """
 
@@ -13,10 +14,11 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicloom.functions import text as tx
 from topicloom.functions.vectors import normalise
@@ -126,6 +128,32 @@ def embed_texts(
     return rows.mapInPandas(encode, f"{key} {key_type}, embedding array<double>")
 
 
+def embed_loaded(
+    df: DataFrame,
+    load: Callable[[], Callable[[list[str]], np.ndarray]],
+    key: str = "seg_key",
+    text: str = "text",
+    batch_size: int = 256,
+) -> DataFrame:
+    """key, embedding from an encoder that ``load`` returns.
+
+    ``load`` runs once in every Python worker, however many tasks the worker gets, so
+    a model is read where it is used and never sent with a task.  Null texts are
+    empty texts.
+    """
+
+    def make():
+        encoder = load()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            return np.asarray(encoder(texts.tolist()), dtype=np.float64)
+
+        return predict
+
+    encode = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    return df.select(F.col(key), encode(F.coalesce(F.col(text), F.lit(""))).alias("embedding"))
+
+
 def learn_token_vectors(
     df: DataFrame, text: str = "text", dims: int = 64, min_count: int = 5, seed: int = 42, parts: int = 8
 ) -> DataFrame:

@@ -20,6 +20,7 @@ from topicloom.operators import topics as tp
 from topicloom.operators import vectorjoin as vj
 from topicloom.operators.language import detect_language, train_language_profiles
 from topicloom.plans import stages
+from topicloom.plans.metrics import StageMetrics
 from topicloom.session import cut_lineage, spread
 from topicloom.sources.posts import first_n, rename_posts
 
@@ -171,6 +172,18 @@ def prepare_counts(spark, sf_dir):
     )
 
 
+@query
+def stage_metrics(spark, sf_dir):
+    """Counts that came with the one pass that wrote the segments."""
+    table = read(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    metrics = StageMetrics()
+    cut_lineage(stages.prepare(
+        table.select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("ord"), F.col("lang").alias("language")),
+        code="fr", split_sentences=True, metrics=metrics,
+    ))
+    return metrics.table(spark)
+
+
 # --- language ----------------------------------------------------------------------------
 
 
@@ -306,6 +319,17 @@ def embed_hook(spark, sf_dir):
     return cells(made, ["doc_id"], "embedding")
 
 
+@query
+def embed_loaded(spark, sf_dir):
+    """The same with an encoder that every worker loads once."""
+
+    def load():
+        kinds = (str.isalpha, str.isdigit, " ".__eq__)
+        return lambda texts: [[sum(map(kind, t)) for kind in kinds] for t in texts]
+
+    return cells(en.embed_loaded(read(spark, sf_dir, "documents"), load, "doc_id"), ["doc_id"], "embedding")
+
+
 @query
 def embed_learned(spark, sf_dir):
     table = read(spark, sf_dir, "documents")

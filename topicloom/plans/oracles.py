@@ -253,6 +253,13 @@ def seeded() -> str:
     )
 
 
+HOOKED = (
+    r"WITH n AS (SELECT doc_id, len(regexp_replace(text, '[^\p{L}]', '', 'g')) AS a, len(regexp_replace(text, '[^\p{Nd}]', '', 'g')) AS b, "
+    "len(text) - len(replace(text, ' ', '')) AS c FROM documents) SELECT doc_id, CAST(unnest([0, 1, 2]) AS INTEGER) AS dim, "
+    "CAST(unnest([a, b, c]) AS DOUBLE) AS value FROM n"
+)
+
+
 def all_sql() -> dict[str, str]:
     plain_sql = plain()
     sql = {
@@ -275,6 +282,10 @@ def all_sql() -> dict[str, str]:
         "learn_abbreviations": abbreviations(),
         "prepare_counts": f"WITH {segments(POSTS, safe('text'))} SELECT 'posts' AS what, count(*) AS n FROM ({POSTS}) "
         "UNION ALL SELECT 'segments', count(*) FROM named",
+        "stage_metrics": f"WITH chosen AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS ord, {cleaned('text')} AS text "
+        f"FROM documents WHERE lang = 'fr' AND text IS NOT NULL), {segments('SELECT * FROM chosen', safe('text'))} "
+        "SELECT 'prepare' AS stage, 'posts' AS metric, CAST(count(*) AS DOUBLE) AS value FROM documents WHERE text IS NOT NULL "
+        "UNION ALL SELECT 'prepare', 'posts_in_language', count(*) FROM chosen UNION ALL SELECT 'prepare', 'segments', count(*) FROM named",
         "detect_languages": f"{LANG} SELECT doc_id, language FROM decided",
         "filter_language": f"{LANG} SELECT doc_id, lang, language FROM decided JOIN documents USING (doc_id) WHERE language = 'FRA'",
         "prepare_posts": f"{LANG}, chosen AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS ord, {cleaned('text')} AS text "
@@ -297,9 +308,8 @@ def all_sql() -> dict[str, str]:
         "embed_weighted": f"WITH tdf AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({toks('text')})) AS token FROM documents) GROUP BY token), "
         "idf AS (SELECT token, ln((SELECT count(*) FROM documents) / df) AS weight FROM tdf), "
         f"{static('SELECT doc_id, text FROM documents', 'doc_id', dims=32, weight='idf')} SELECT doc_id, dim, round(value, 6) AS value FROM emb",
-        "embed_hook": r"WITH n AS (SELECT doc_id, len(regexp_replace(text, '[^\p{L}]', '', 'g')) AS a, len(regexp_replace(text, '[^\p{Nd}]', '', 'g')) AS b, "
-        "len(text) - len(replace(text, ' ', '')) AS c FROM documents) SELECT doc_id, CAST(unnest([0, 1, 2]) AS INTEGER) AS dim, "
-        "CAST(unnest([a, b, c]) AS DOUBLE) AS value FROM n",
+        "embed_hook": HOOKED,
+        "embed_loaded": HOOKED,
         "rescale_init": f"WITH {COORDS} SELECT vec_id, CAST(dim AS INTEGER) AS dim, "
         "round(x / (10000 * (SELECT stddev_pop(x) FROM c WHERE dim = 0)), 9) AS value FROM c",
         "reduce_none": f"WITH {COORDS} SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 6) AS value FROM c",

@@ -15,6 +15,7 @@ from topicloom.operators import reduce as rd
 from topicloom.operators import terms as tm
 from topicloom.operators import topics as tp
 from topicloom.operators.language import LanguageProfiles, detect_language
+from topicloom.plans.metrics import StageMetrics, watched
 from topicloom.session import cut_lineage
 
 
@@ -25,6 +26,7 @@ def prepare(
     split_sentences: bool = False,
     split_paragraphs: bool = True,
     abbreviations: Sequence[str] = (),
+    metrics: StageMetrics | None = None,
 ) -> DataFrame:
     """Posts (id, text, ord) to segments (seg_key, label, text, id, idx).
 
@@ -32,14 +34,14 @@ def prepare(
     splitting; with neither the cleaned posts are returned.  Apart from numbering the
     posts that share the job-centre id, all of it is one pass without a shuffle.
     """
-    posts = pr.disambiguate_ids(posts)
+    posts = watched(pr.disambiguate_ids(posts), metrics, "prepare", posts=F.count(F.lit(1)))
     if profiles is not None:
         posts = detect_language(posts, profiles)
     if code is not None and (profiles is not None or "language" in posts.columns):
-        posts = pr.filter_language(posts, code)
+        posts = watched(pr.filter_language(posts, code), metrics, "prepare", posts_in_language=F.count(F.lit(1)))
     posts = posts.withColumn("text", pr.tx.clean_text(F.col("text")))
     mode = "sentence" if split_sentences else "paragraph" if split_paragraphs else "none"
-    return pr.segment_posts(posts, mode, abbreviations)
+    return watched(pr.segment_posts(posts, mode, abbreviations), metrics, "prepare", segments=F.count(F.lit(1)))
 
 
 def embed(
@@ -48,13 +50,14 @@ def embed(
     key: str = "seg_key",
     dims: int = 64,
     layout_2d: dict | None = None,
+    metrics: StageMetrics | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Vectors (key, embedding) and their 2-D layout (key, reduced)."""
     if encoder is None:
         vectors = en.embed_static(segments, key, "text", dims)
     else:
         vectors = en.embed_texts(segments, encoder, key)
-    vectors = cut_lineage(vectors)
+    vectors = cut_lineage(watched(vectors, metrics, "embed", vectors=F.count(F.lit(1))))
     args = {"n_neighbors": 10, "n_components": 2, "min_dist": 0.0, "metric": "cosine"} | (layout_2d or {})
     return vectors, rd.reduce_umap(vectors, key=key, **args)
 
@@ -71,6 +74,7 @@ def fit_topics(
     probabilities: bool = False,
     key: str = "seg_key",
     dims: int = 64,
+    metrics: StageMetrics | None = None,
 ) -> dict[str, DataFrame]:
     """assignments (key, topic, prob), topic_embeddings (topic, centroid), words, config.
 
@@ -91,13 +95,18 @@ def fit_topics(
     reduced = rd.reduce(vectors, key=key, **reduction)
     clustered = cut_lineage(cl.cluster(reduced, key=key, vector="reduced", **clustering))
 
+    def numbered(clusters: DataFrame, step: str) -> DataFrame:
+        # topics have the numbers 0, 1, ...
+        counts = {"texts": F.count(F.lit(1)), "texts_without_topic": F.count_if(F.col("topic") == -1), "topics": F.max("topic") + 1}
+        return cut_lineage(watched(tp.renumber_topics(clusters), metrics, step, **counts))
+
     def centres(assigned: DataFrame) -> DataFrame:
         return cut_lineage(tp.topic_centroids(tp.align(vectors, assigned, key, check=False)))
 
-    assigned = cut_lineage(tp.renumber_topics(clustered))
+    assigned = numbered(clustered, "fit")
     centroids = centres(assigned)
     if merge:
-        assigned = cut_lineage(tp.renumber_topics(cl.merge_topics_auto(assigned, centroids)))
+        assigned = numbered(cl.merge_topics_auto(assigned, centroids), "merge")
         centroids = centres(assigned)
     counts = tm.count_terms(tp.align(texts.select(key, "text"), assigned, key, check=False), stopwords=stopwords)
     scored = tm.class_tfidf(counts, boost=boost)
@@ -155,10 +164,12 @@ def describe(
     assignments: DataFrame,
     stopwords: Sequence[str] = fv.DANISH_STOPWORDS,
     key: str = "seg_key",
+    metrics: StageMetrics | None = None,
     **options,
 ) -> DataFrame:
     """topic info: size, name, words and representative texts of every topic."""
-    joined = cut_lineage(tp.align(texts.select(key, "text"), assignments.select(key, "topic"), key, check=False))
+    joined = tp.align(texts.select(key, "text"), assignments.select(key, "topic"), key, check=False)
+    joined = cut_lineage(watched(joined, metrics, "describe", texts=F.count(F.lit(1))))
     words, scored = update_topics(joined, stopwords, key=key, **options)
     docs = tp.representative_docs(
         joined,
@@ -172,7 +183,7 @@ def describe(
     )
     # three rows per topic are joined with their texts
     shown = docs.join(joined.select(key, "text"), key).select("topic", "rank", "text")
-    return tp.topic_info(joined, tm.top_words(words), shown)
+    return watched(tp.topic_info(joined, tm.top_words(words), shown), metrics, "describe", topics=F.count(F.lit(1)))
 
 
 def topic_map_data(centroids: DataFrame, assigned: DataFrame) -> DataFrame:
