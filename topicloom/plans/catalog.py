@@ -15,6 +15,7 @@ from topicloom.operators import encode as en
 from topicloom.operators import prepare as pr
 from topicloom.operators import reduce as rd
 from topicloom.operators import spanning as sp
+from topicloom.operators import spectral as sc
 from topicloom.operators import terms as tm
 from topicloom.operators import topics as tp
 from topicloom.operators import vectorjoin as vj
@@ -360,7 +361,15 @@ def reduce_umap(spark, sf_dir):
 
 @query
 def reduce_umap_2d(spark, sf_dir):
-    return rd.reduce_umap(vectors(spark, sf_dir), 10, 2, key="vec_id")
+    return rd.reduce_umap(vectors(spark, sf_dir), 10, 2, key="vec_id", start="spectral")
+
+
+@query
+def spectral_start(spark, sf_dir):
+    """Where the two-dimensional layout starts."""
+    table = vectors(spark, sf_dir)
+    graph = cut_lineage(rd.fuzzy_graph(vj.knn_join(table, 9, "vec_id", metric="cosine"), 10, "vec_id"))
+    return sc.spectral_start(graph, cut_lineage(rd.reduce_pca(table, 2, "vec_id")), "vec_id")
 
 
 @query

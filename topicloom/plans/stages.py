@@ -58,7 +58,7 @@ def embed(
     else:
         vectors = en.embed_texts(segments, encoder, key)
     vectors = cut_lineage(watched(vectors, metrics, "embed", vectors=F.count(F.lit(1))))
-    args = {"n_neighbors": 10, "n_components": 2, "min_dist": 0.0, "metric": "cosine"} | (layout_2d or {})
+    args = {"n_neighbors": 10, "n_components": 2, "min_dist": 0.0, "metric": "cosine", "start": "spectral"} | (layout_2d or {})
     return vectors, rd.reduce_umap(vectors, key=key, **args)
 
 
