@@ -276,6 +276,51 @@ def _knn_distinct(distinct: DataFrame, k: int, block_rows: int, n_probe: int | N
     return _best_k(local.unionByName(other), k)
 
 
+def knn_between(queries: DataFrame, points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key, rank (1..k), neighbor, distance: the k nearest rows of ``points`` for each row of ``queries`` (both key, vec).
+
+    Exact, Euclidean, equal distances by the point's key; a query may stand on a point.
+    Copies on either side are compared once.  A query first sees the cell of the nearest
+    pivot, then all blocks that could hold something nearer than the k-th found there.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    query_type, key_type = (t.schema["key"].dataType.simpleString() for t in (queries, points))
+    hit = f"key {query_type}, neighbor {key_type}, distance double"
+    asking, there = _group_copies(queries), _group_copies(points)
+    if not asking.take(1) or not there.take(1):
+        return queries.sparkSession.createDataFrame([], f"key {query_type}, rank int, neighbor {key_type}, distance double")
+    cells = build_cells(there.select(F.col("rep").alias("key"), "vec"), block_rows)
+    homes = build_cells(asking.select(F.col("rep").alias("key"), "vec"), block_rows).points.select("key", "vec", "home")
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) == 0 or len(right) == 0:
+            return pd.DataFrame({"key": [], "neighbor": [], "distance": []})
+        q_keys, p_keys = left["key"].to_numpy(), right["key"].to_numpy()
+        # a point with the key of the query is not the query itself
+        qi, pi, d = nearest(matrix(left["vec"]), np.full(len(left), None), matrix(right["vec"]), p_keys, k)
+        useful = d <= left["bound"].to_numpy()[qi] * (1 + SLACK)
+        return pd.DataFrame({"key": q_keys[qi], "neighbor": p_keys[pi], "distance": d})[useful]
+
+    def visited(asked: DataFrame, n_probe: int | None) -> DataFrame:
+        asked = cut_lineage(visits(cells, asked, block_rows, n_probe, include_home=True))
+        return cut_lineage(_best_k(visit_blocks(cells, asked, cells.points.select("key", "vec", "home"), search, hit), k))
+
+    nearby = visited(homes.withColumn("bound", F.lit(float("inf"))), 1)
+    bounds = nearby.groupBy("key").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
+    bounded = homes.join(bounds, "key", "left").select("key", "vec", "home", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    found = visited(bounded, None)
+
+    # a group of equal points offers its k smallest keys; every copy of a query gets the same list
+    order = Window.partitionBy("vec").orderBy("key")
+    members = points.select("key", "vec").withColumn("m", F.row_number().over(order)).where(F.col("m") <= k)
+    members = members.join(there.select("vec", "rep"), "vec").select(F.col("rep").alias("neighbor"), F.col("key").alias("member"))
+    offers = found.join(members, "neighbor").select("key", F.col("member").alias("neighbor"), "distance")
+    lists = cut_lineage(_best_k(offers, k).withColumnRenamed("key", "rep"))
+    owners = queries.select("key", "vec").join(asking.select("vec", "rep"), "vec").select("key", "rep")
+    return owners.join(lists, "rep").select("key", "rank", "neighbor", "distance")
+
+
 def _expand_copies(rows: DataFrame, groups: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """From neighbours of distinct vectors to neighbours of rows.
 

@@ -12,6 +12,7 @@ from topicloom.functions.fixed_values import DANISH_STOPWORDS
 from topicloom.operators import cluster as cl
 from topicloom.operators import descent as ds
 from topicloom.operators import encode as en
+from topicloom.operators import predict as pdn
 from topicloom.operators import prepare as pr
 from topicloom.operators import reduce as rd
 from topicloom.operators import spanning as sp
@@ -425,6 +426,14 @@ def cluster_hdbscan(spark, sf_dir):
     return cl.cluster_hdbscan(cut_lineage(reduced), 20, 10, "doc_id", "reduced")
 
 
+@query
+def predict_density(spark, sf_dir):
+    """All documents in the clusters of those whose number is not divisible by 5."""
+    reduced = cut_lineage(rd.reduce_pca(encoded(spark, sf_dir), 5, "doc_id"))
+    model = pdn.fit_density(reduced.where("doc_id % 5 <> 0"), 20, 10, "doc_id", "reduced")
+    return pdn.predict_density(model, reduced, "doc_id", "reduced")
+
+
 # --- topics ------------------------------------------------------------------------------
 
 
