@@ -428,10 +428,9 @@ def cluster_hdbscan(spark, sf_dir):
 
 @query
 def predict_density(spark, sf_dir):
-    """All documents in the clusters of those whose number is not divisible by 5."""
-    reduced = cut_lineage(rd.reduce_pca(encoded(spark, sf_dir), 5, "doc_id"))
-    model = pdn.fit_density(reduced.where("doc_id % 5 <> 0"), 20, 10, "doc_id", "reduced")
-    return pdn.predict_density(model, reduced, "doc_id", "reduced")
+    """All benchmark texts in the clusters of all documents."""
+    model = pdn.fit_density(cut_lineage(en.embed_static(read(spark, sf_dir, "documents"), "doc_id", dims=5)), 20, 10, "doc_id")
+    return pdn.predict_density(model, en.embed_static(read(spark, sf_dir, "benchmark"), "item_id", dims=5), "item_id")
 
 
 # --- topics ------------------------------------------------------------------------------
