@@ -268,3 +268,40 @@ def test_clusters_do_not_depend_on_the_parts_of_the_tree(spark):
         for m in (50_000, 20)
     ]
     assert runs[0] == runs[1] and len({t for _, t, _ in runs[0]}) >= 3
+
+
+def test_vectors_that_must_see_most_cells_meet_large_blocks(spark, monkeypatch):
+    """In 16 dimensions without structure no cell can be skipped; a vector may then not be sent to every small block."""
+    v = np.random.default_rng(5).normal(size=(900, 16))
+    v[40:50] = v[40]
+    monkeypatch.setattr(vj, "WIDE_ROWS", 150)
+    monkeypatch.setattr(vj, "VISIT_BYTES", 700)
+    sent = []
+    real = vj.visit_blocks
+    monkeypatch.setattr(vj, "visit_blocks", lambda cells, asked, *rest: sent.append(asked.count()) or real(cells, asked, *rest))
+    rows = cut_lineage(vj.knn_join(frame(spark, v), 4, "id", "e", block_rows=30)).collect()
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    assert max(sent) < 4 * len(v)
+    assert len(rows) == 4 * len(v)
+    for r in rows:
+        want = [j for j in np.lexsort((np.arange(len(v)), np.round(d[r.id], 9))) if j != r.id][:4]
+        assert r.neighbor == want[r["rank"] - 1]
+    between = vj.knn_between(frame(spark, v[:300] + 0.1).toDF("key", "vec"), frame(spark, v).toDF("key", "vec"), 3, 30).collect()
+    d = np.sqrt(((v[:300, None] + 0.1 - v[None]) ** 2).sum(2))
+    assert len(between) == 900
+    assert all(r.neighbor == np.lexsort((np.arange(len(v)), np.round(d[r.key], 9)))[r["rank"] - 1] for r in between)
+
+
+def test_tree_of_vectors_that_must_see_most_cells(spark, monkeypatch):
+    from topicloom.operators import spanning
+
+    v = np.random.default_rng(6).normal(size=(400, 16))
+    monkeypatch.setattr(vj, "VISIT_BYTES", 700)
+    monkeypatch.setattr(spanning, "WIDE_ROWS", 90)
+    met = []
+    real = vj.meet_all
+    monkeypatch.setattr(spanning, "meet_all", lambda *args: met.append(1) or real(*args))
+    got = mst_edges(frame(spark, v), 4, "id", "e", block_rows=30).collect()
+    assert met
+    assert len(got) == 399
+    assert sum(r.weight for r in got) == pytest.approx(sum(e[0] for e in mst_brute(v, 4)))
