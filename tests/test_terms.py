@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from topicloom.operators import terms as tm
@@ -53,3 +54,29 @@ def test_vocabulary_limits(docs):
 def test_empty_vocabulary_is_an_error(docs):
     with pytest.raises(ValueError, match="min_df"):
         stages.update_topics(docs.selectExpr("topic", "text", "uuid() AS seg_key"), min_df=10)
+
+
+def test_few_longer_terms_are_counted_and_none_is_lost(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i % 5), " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 60), 500))) for i in range(80)] + [(0, None), (1, ""), (2, "w1"), (None, "w1 w2 w3")]
+    df = spark.createDataFrame(rows, "topic int, text string")
+    every = tm.class_term_counts(df, ngram_range=(1, 3))
+    counted = tm.frequent_term_counts(df, longest=3, min_df=2, max_features=40)
+    assert counted.count() < every.count() / 2
+    for min_df, cap in ((1, 40), (3, 40), (2, 100_000)):
+        want = {tuple(r) for r in tm.restrict_vocabulary(every, min_df, cap).collect()}
+        assert {tuple(r) for r in tm.count_terms(df, ngram_range=(1, 3), min_df=min_df, max_features=cap).collect()} == want
+
+
+def test_terms_of_a_text_are_counted_where_the_text_is(spark):
+    rows = [(1, "aa bb aa bb"), (1, "aa bb"), (2, "cc"), (None, "aa aa"), (None, "aa"), (3, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    counts = tm.text_term_counts(df, "id", ngram_range=(1, 2))
+    assert {tuple(r) for r in counts.collect()} == {
+        (1, "aa", 3), (1, "bb", 3), (1, "aa bb", 3), (1, "bb aa", 1), (2, "cc", 1), (None, "aa", 3), (None, "aa aa", 1),
+    }
+    plan = tm.text_term_counts(df, "id")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert any("hashpartitioning(id#" in line for line in exchanges)
+    # only the terms of texts without a key are shuffled
+    assert sum("term#" in line for line in exchanges) == 1
