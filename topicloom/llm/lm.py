@@ -111,7 +111,7 @@ class Model:
         return self
 
     def predictions(self, earlier: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return self.position[0] * self.context[earlier] + self.position[1] * self.context[before]
+        return self.position[0] * self.context.take(earlier, 0) + self.position[1] * self.context.take(before, 0)
 
     def log10_table(self) -> np.ndarray:
         """log10 probabilities for every triple, by one matrix product per earlier class; 64 MB."""
@@ -131,16 +131,22 @@ class Model:
         log_noise = np.log(NOISE * self.noise)
         noise_share = np.cumsum(self.noise)
         size = {n: np.full(getattr(self, n).shape, 1e-3) for n in self.NAMES}
+        places = {n: np.arange(size[n].size).reshape(size[n].shape) for n in self.NAMES}
 
         def move(name: str, index, gradient: np.ndarray) -> None:
-            whole = np.zeros_like(getattr(self, name))
-            np.add.at(whole, index, gradient)
+            now = getattr(self, name)
+            # bincount adds in the order of the rows, as add.at does, but in one pass over flat arrays
+            whole = np.bincount(places[name].take(index, 0).ravel(), gradient.ravel(), minlength=now.size).reshape(now.shape)
             size[name] += whole**2
             getattr(self, name)[...] += 0.1 * whole / np.sqrt(size[name])
 
         def sigmoid(x: np.ndarray) -> np.ndarray:
-            return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            """In place: new arrays of this size would cost more than the sums."""
+            np.negative(np.clip(x, -30, 30, out=x), out=x)
+            np.exp(x, out=x)
+            return np.divide(1, np.add(x, 1, out=x), out=x)
 
+        down = np.empty((BATCH, NOISE))
         for _ in range(60 + len(triples) // 500):
             taken = order[np.arange(at, at + BATCH) % len(order)]
             at += BATCH
@@ -148,17 +154,22 @@ class Model:
             own, before, earlier = chosen % CLASSES, chosen // CLASSES % CLASSES, chosen // CLASSES**2
             false = np.minimum(np.searchsorted(noise_share, draw.random(NOISE)), CLASSES - 1)
             q = self.predictions(earlier, before)
-            up = weight * (1 - sigmoid((q * self.target[own]).sum(1) + self.bias[own] - log_noise[own]))
-            down = -weight[:, None] * sigmoid(q @ self.target[false].T + self.bias[false] - log_noise[false])
-            dq = (up[:, None] * self.target[own] + down @ self.target[false]) / BATCH
+            true, noise = self.target.take(own, 0), self.target.take(false, 0)
+            up = weight * (1 - sigmoid((q * true).sum(1) + self.bias[own] - log_noise[own]))
+            np.matmul(q, noise.T, out=down)
+            down += self.bias[false]
+            down -= log_noise[false]
+            sigmoid(down)
+            down *= -weight[:, None]
+            dq = (up[:, None] * true + down @ noise) / BATCH
             grow, shrink = up[:, None] * q / BATCH, down.T @ q / BATCH
             bias = np.concatenate([up, down.sum(0)]) / BATCH
-            position = np.stack([(dq * self.context[earlier]).sum(0), (dq * self.context[before]).sum(0)])
+            position = np.stack([(dq * self.context.take(c, 0)).sum(0) for c in (earlier, before)])
             first, second = dq * self.position[0], dq * self.position[1]
             move("target", np.concatenate([own, false]), np.concatenate([grow, shrink]))
             move("context", np.concatenate([earlier, before]), np.concatenate([first, second]))
             move("bias", np.concatenate([own, false]), bias)
-            move("position", slice(None), position)
+            move("position", np.arange(2), position)
 
 
 def _count_words(texts: DataFrame) -> DataFrame:
