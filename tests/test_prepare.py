@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom.operators import language as la
 from topicloom.operators import prepare as pr
 from topicloom.operators.language import detect_language, train_language_profiles
 from topicloom.operators.ordering import running_number
@@ -59,6 +60,28 @@ def test_language(spark, sf_dir):
     assert {r.language for r in detect_language(odd, profiles).where("text is null or text > 'a'").collect()} == {"unknown"}
 
 
+@pytest.mark.parametrize("dense", [la.DENSE_STEPS, 0])
+@pytest.mark.parametrize("longest", [1, 3])
+def test_gram_tree(spark, monkeypatch, dense, longest):
+    """The same scores as by the model over counted n-grams."""
+    monkeypatch.setattr(la, "DENSE_STEPS", dense)
+    monkeypatch.setattr(la, "SCORE_CHARS", 40)
+    rows = [("da", "Rødgrød med fløde"), ("en", "a cat, and a dog"), ("en", ""), ("ru", "кот и пёс"), ("x", "𐐀𐐁 b𐐀")]
+    profiles = train_language_profiles(spark.createDataFrame(rows, "lang string, text string"), longest=longest)
+    texts = ["", "ø", "red med kat", "кот a", "zzz 漢字", "𐐀𐐁", "x" * 100, "!?", "fløde\0and", "cat and"] * 2
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "id int, text string")
+    grams = la.with_char_grams(table, F.coalesce("text", F.lit("")), longest)
+    model = profiles.bayes.transform(profiles.vectorizer.transform(grams)).orderBy("id").select("rawPrediction").collect()
+    wanted = [r[0].toArray() - profiles.bayes.pi.toArray() for r in model]
+    clean = [r[0] for r in table.orderBy("id").select(la.letters_only(F.coalesce("text", F.lit("")))).collect()]
+    got = la.GramTree(profiles.vectorizer.vocabulary, profiles.bayes.theta.toArray()).score(clean)
+    assert abs(got - wanted).max() < 1e-9
+    best = [w.argmax() if (w >= w.max() - la.TIE).sum() == 1 else None for w in wanted]
+    names = ["unknown" if b is None else profiles.languages[b] for b in best]
+    found = detect_language(table, profiles, iso3=False).orderBy("id").collect()
+    assert [r.language for r in found] == names
+
+
 def test_language_is_judged_before_cleaning(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     profiles = train_language_profiles(docs)

@@ -2,15 +2,17 @@
 
 Training is a distributed count per language.  Detection is a row map: the
 profiles are an ML model that Spark ships to the executors, so a text never moves.
+There the n-grams are a tree of states, and no n-gram of a text is ever built as a string.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,10 @@ from topicloom.session import cut_lineage
 MAX_TEXTS = 50_000
 # Scores closer than this count as a tie.
 TIE = 1e-6
+# Entries of a step's table of (state, character); a larger step is searched in sorted keys.
+DENSE_STEPS = 1 << 23
+# Characters scored at a time; a longer text is scored alone.
+SCORE_CHARS = 1 << 19
 
 
 @dataclass
@@ -83,23 +89,99 @@ def train_language_profiles(
     return LanguageProfiles(vectorizer, bayes, languages, longest)
 
 
+class GramTree:
+    """Log-probabilities of n-grams, read along a text without building its n-grams.
+
+    A state is an n-gram that is known or begins a known one; 0 is none.  ``scores`` of a state, one row
+    per language, are those of its n-gram and all that begin it, so the longest state at a
+    character stands for all n-grams that start there.
+    """
+
+    def __init__(self, grams: list[str], theta: np.ndarray):
+        # character 0 parts texts, so no state has it
+        states = {g[:n] for g in grams if "\0" not in g for n in range(1, len(g) + 1)}
+        order = sorted(states, key=lambda g: (len(g), g))
+        number = {g: i + 1 for i, g in enumerate(order)}
+        self.chars = np.array(sorted({ord(c) for g in states for c in g}), dtype=np.int64)
+        place = {chr(c): i + 1 for i, c in enumerate(self.chars)}
+        own = np.zeros((theta.shape[0], len(order) + 1))
+        self.empty = np.zeros(theta.shape[0])
+        for g, column in zip(grams, theta.T):
+            if g in number:
+                own[:, number[g]] = column
+            elif not g:
+                self.empty = column
+        width = len(self.chars) + 1
+        self.codes = np.zeros(int(self.chars.max(initial=0)) + 2, dtype=np.int32)
+        self.codes[self.chars] = np.arange(1, width)
+        self.steps = []
+        # states of one length are numbered in a row
+        first, rows = 0, 1
+        for n in range(1, max(map(len, order), default=0) + 1):
+            here = [g for g in order if len(g) == n]
+            before = np.array([number.get(g[:-1], 0) for g in here], dtype=np.int64)
+            there = np.array([number[g] for g in here], dtype=np.int64)
+            own[:, there] += own[:, before]
+            keys = (before - first) * width + np.array([place[g[-1]] for g in here])
+            if rows * width <= DENSE_STEPS:
+                table = np.zeros((rows + 1) * width, dtype=np.int32)
+                table[keys + width] = there
+                self.steps.append((first, width, table, None))
+            else:
+                by_key = np.argsort(keys)
+                self.steps.append((first, width, there[by_key].astype(np.int32), keys[by_key]))
+            first, rows = int(there[0]), len(there)
+        self.scores = own
+
+    def _next(self, n: int, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        first, width, table, keys = self.steps[n]
+        row = state.astype(np.int64) - first
+        if keys is None:
+            # states without a step share a row of zeros
+            return table.take(np.maximum(row + 1, 0) * width + code)
+        wanted = row * width + code
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where((keys[at] == wanted) & (row >= 0) & (code > 0), table[at], 0)
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        """One row per text, one column per language."""
+        length = np.array([len(t) for t in texts], dtype=np.int64)
+        out, first = np.zeros((len(texts), len(self.empty))), 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(np.cumsum(length[first:]), SCORE_CHARS, "right")) + first)
+            out[first:last] = self._score(texts[first:last], length[first:last])
+            first = last
+        out[length == 0] += self.empty
+        return out
+
+    def _score(self, texts: list[str], length: np.ndarray) -> np.ndarray:
+        points = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le"), dtype=np.uint32)
+        codes = self.codes[np.minimum(points, len(self.codes) - 1)]
+        state = longest = np.zeros(len(codes), dtype=np.int32)
+        for n in range(len(self.steps)):
+            state = self._next(n, state, np.concatenate([codes[n:], np.zeros(min(n, len(codes)), np.int32)]))
+            longest = np.where(state > 0, state, longest)
+        starts = np.cumsum(length + 1) - length - 1
+        return np.stack([np.add.reduceat(s.take(longest), starts) for s in self.scores], axis=1)
+
+
 def detect_language(
     df: DataFrame, profiles: LanguageProfiles, text: str = "text", iso3: bool = True
 ) -> DataFrame:
     """Add ``language``; ``unknown`` if no n-gram is known or the best two tie."""
-    names = [ISO_639_3.get(x, x.upper()) if iso3 else x for x in profiles.languages]
-    priors = F.array(*[F.lit(float(p)) for p in profiles.bayes.pi.toArray()])
+    names = np.array([ISO_639_3.get(x, x.upper()) if iso3 else x for x in profiles.languages], dtype=object)
     kept = [F.col(c) for c in df.columns if c != "language"]
+    # every language is equally likely beforehand, so the class shares of the model are left out
+    made = GramTree(profiles.vectorizer.vocabulary, profiles.bayes.theta.toArray())
+    tree = df.sparkSession.sparkContext.broadcast(made)
+
+    @F.pandas_udf("string")
+    def named(texts: pd.Series) -> pd.Series:
+        scores = tree.value.score(texts.tolist())
+        rivals = (scores >= scores.max(axis=1, keepdims=True) - TIE).sum(axis=1)
+        return pd.Series(np.where(rivals == 1, names[scores.argmax(axis=1)], UNKNOWN_LANGUAGE))
 
-    grams = with_char_grams(df, F.coalesce(F.col(text), F.lit("")), profiles.longest)
-    scored = profiles.bayes.transform(profiles.vectorizer.transform(grams))
-    # every language is equally likely beforehand: take the class shares back out
-    scores = F.zip_with(vector_to_array("rawPrediction"), priors, lambda s, p: s - p)
-    ranked = scored.select(*kept, scores.alias("_scores"))
-    best = F.array_max("_scores")
-    rivals = F.size(F.filter("_scores", lambda s: s >= F.array_max("_scores") - TIE))
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("_scores", best).cast("int"))
-    language = F.when(rivals == 1, name).otherwise(F.lit(UNKNOWN_LANGUAGE))
+    language = named(letters_only(F.coalesce(F.col(text), F.lit(""))))
     # explode() of one value keeps a filter on the result from being moved below the
     # model, where it would score every text a second time
-    return ranked.select(*kept, F.explode(F.array(language)).alias("language"))
+    return df.select(*kept, F.explode(F.array(language)).alias("language"))
