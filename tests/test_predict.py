@@ -93,3 +93,15 @@ def test_neighbours_in_another_table(spark, block_rows):
     for i in range(len(queries)):
         want = np.lexsort((np.arange(len(points)), d[i]))[:6]
         assert [near[i, k + 1] for k in range(6)] == [(j, round(d[i, j], 9)) for j in want.tolist()]
+
+
+def test_neighbours_are_searched_once(spark, monkeypatch):
+    """The tree and the core distances share them."""
+    from topicloom.operators import spanning
+
+    searched = []
+    real = vj.knn_join
+    for module in (pdn, spanning):
+        monkeypatch.setattr(module, "knn_join", lambda *args: searched.append(1) or real(*args))
+    model = pdn.fit_density(frame(spark, groups()), 5, 3, "id", "e")
+    assert model["points"].count() == 180 and len(searched) == 1

@@ -305,3 +305,44 @@ def test_tree_of_vectors_that_must_see_most_cells(spark, monkeypatch):
     assert met
     assert len(got) == 399
     assert sum(r.weight for r in got) == pytest.approx(sum(e[0] for e in mst_brute(v, 4)))
+
+
+def test_large_components_of_the_tree_do_not_search(spark, monkeypatch):
+    """A dense group grows to one component early; the groups around it come to it."""
+    from topicloom.operators import spanning
+
+    rng = np.random.default_rng(8)
+    around = [rng.normal(size=3) * 3 + rng.normal(size=(6, 3)) * 0.1 for _ in range(10)]
+    v = np.vstack([rng.normal(size=(120, 3)) * 0.3, *around])
+    asked = []
+    real = spanning._search
+
+    def spy(cells, state, queries, block_rows):
+        sizes = {r.comp: r["count"] for r in state.groupBy("comp").count().collect()}
+        comps = {r.comp for r in queries.select("comp").distinct().collect()}
+        asked.append(max((sizes[c] for c in comps), default=0) * len(sizes) / len(v))
+        return real(cells, state, queries, block_rows)
+
+    monkeypatch.setattr(spanning, "_search", spy)
+    got = mst_edges(frame(spark, v), 4, "id", "e", block_rows=40).collect()
+    assert sorted(r.weight for r in got) == pytest.approx(sorted(e[0] for e in mst_brute(v, 4)))
+    assert asked and max(asked) <= 4
+
+
+def test_documents_are_encoded_once_for_clusters(spark, tmp_path, monkeypatch):
+    from topicloom.plans import catalog
+
+    texts = [(i, f"{['red apple', 'blue stone', 'green leaf'][i % 3]} number{i} word{i % 7}", "src1") for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    given = []
+
+    def spy(df, *args):
+        given.append(df)
+        raise InterruptedError
+
+    monkeypatch.setattr(rd, "reduce_pca", spy)
+    with pytest.raises(InterruptedError):
+        catalog.cluster_hdbscan(spark, str(tmp_path))
+    assert given[0].count() == 60
+    # the vectors are read, not made from the texts in every pass
+    assert "Generate" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
