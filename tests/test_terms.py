@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from topicloom.operators import grams as gr
 from topicloom.operators import terms as tm
 from topicloom.plans import stages
 
@@ -80,3 +81,29 @@ def test_terms_of_a_text_are_counted_where_the_text_is(spark):
     assert any("hashpartitioning(id#" in line for line in exchanges)
     # only the terms of texts without a key are shuffled
     assert sum("term#" in line for line in exchanges) == 1
+
+
+@pytest.mark.parametrize("most", [1 << 18, 20, 0])
+def test_longer_terms_are_counted_as_numbers_or_as_strings(spark, monkeypatch, most):
+    monkeypatch.setattr(gr, "MAX_WORDS", most)
+    # codes of three words and topics must not run into each other
+    monkeypatch.setattr(gr, "CODE_BITS", 28)
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 40), " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 30), 200))) for i in range(60)]
+    rows += [(0, None), (1, ""), (2, "w1"), (None, "w1 w2 w1 w2"), (None, "Øl 漢字 w1"), (5, "w3 w3")]
+    df = spark.createDataFrame(rows, "topic int, text string").repartition(3)
+    for low, high in ((1, 3), (2, 5)):
+        plain = tm.explode_terms(df, ["topic"], "text", ["w3"], (low, high)).groupBy("topic", "term").count()
+        counts = tm.class_term_counts(df, stopwords=["w3"], ngram_range=(low, high))
+        assert sorted(map(repr, map(tuple, counts.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+    every = tm.class_term_counts(df, ngram_range=(1, 3))
+    for min_df, cap in ((1, 30), (2, 100_000)):
+        want = {tuple(r) for r in tm.restrict_vocabulary(every, min_df, cap).collect()}
+        assert {tuple(r) for r in tm.count_terms(df, ngram_range=(1, 3), min_df=min_df, max_features=cap).collect()} == want
+
+
+def test_longer_terms_are_shuffled_as_numbers(spark, docs):
+    plan = tm.class_term_counts(docs, ngram_range=(2, 3))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert dealt and all("code#" in line for line in dealt)
+    assert tm.class_term_counts(docs.where("false"), ngram_range=(1, 3)).count() == 0

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as tx
+from topicloom.operators import grams as gr
 from topicloom.session import cut_lineage
 
 # A vocabulary up to this length may be broadcast.
@@ -74,9 +75,24 @@ def class_term_counts(
     stopwords: Iterable[str] = (),
     ngram_range: tuple[int, int] = (1, 1),
 ) -> DataFrame:
-    """topic, term, tf"""
-    occurrences = explode_terms(df.withColumnRenamed(topic, "topic"), ["topic"], text, stopwords, ngram_range)
-    return occurrences.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """topic, term, tf
+
+    Texts are cut into words once.  Longer terms are counted as numbers.
+    """
+    low, high = ngram_range
+    if high < 2 or not 1 <= low <= high:
+        occurrences = explode_terms(df.withColumnRenamed(topic, "topic"), ["topic"], text, stopwords, ngram_range)
+        return occurrences.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = _words(df, text, topic, stopwords)
+    single = cut_lineage(gr.word_counts(words))
+    longer = gr.gram_counts(words, max(low, 2), high, gr.number_words(term_totals(single)))
+    return longer if low > 1 else single.unionByName(longer)
+
+
+def _words(df: DataFrame, text: str, topic: str, stopwords: Iterable[str]) -> DataFrame:
+    """topic, _words: written, because they are read for every length of terms."""
+    kept = tx.remove_stopwords(tx.tokens(F.col(text)), stopwords)
+    return cut_lineage(df.select(F.col(topic).alias("topic"), kept.alias("_words")))
 
 
 def term_totals(counts: DataFrame) -> DataFrame:
@@ -115,30 +131,21 @@ def frequent_term_counts(
     longer ones are counted only where both of these are as frequent as the last of the
     ``max_features`` most frequent so far.  The counts of a term are complete.
     """
-    kept = tx.remove_stopwords(tx.tokens(F.col(text)), stopwords)
-    words = cut_lineage(df.select(F.col(topic).alias("topic"), kept.alias("_words")))
-    found = cut_lineage(
-        words.select("topic", F.explode_outer("_words").alias("term")).where(F.col("term").isNotNull())
-        .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    words = _words(df, text, topic, stopwords)
+    found, numbered, all_numbered = cut_lineage(gr.word_counts(words)), None, False
     for n in range(2, longest + 1):
         totals = cut_lineage(term_totals(found).where(F.col("df") >= min_df))
         top = totals.orderBy(F.desc("total")).limit(max_features).agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("least")).first()
         least = top.least if top.n == max_features else 1
         # a term of n - 1 words has n - 2 blanks
         kept = totals.where((F.col("total") >= least) & (F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit(""))) == n - 2))
-        kept = kept.select("term")
-        shorter = tx.with_ngrams(words, "_words", n - 1, n - 1, out="_short")
-        last = F.slice("_words", n, F.greatest(F.size("_words"), F.lit(1)))
-        follows = F.slice("_short", 2, F.greatest(F.size("_short"), F.lit(1)))
-        # shorter arrays are filled up with nulls, which are left out
-        pairs = F.arrays_zip(F.col("_short").alias("a"), follows.alias("b"), last.alias("w"))
-        rows = shorter.select("topic", F.explode_outer(pairs).alias("p")).where("p.w is not null").select("topic", "p.a", "p.b", "p.w")
-        # too many to ship: then all longer terms are counted, which costs less than two joins of all occurrences
-        if kept.count() <= BROADCAST_TERMS:
-            for part in ("a", "b"):
-                rows = rows.join(F.broadcast(kept.withColumnRenamed("term", part)), part, "left_semi")
-        longer = rows.groupBy("topic", F.concat("a", F.lit(" "), "w").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+        many, shorter = kept.count(), None
+        if numbered is None:
+            numbered, all_numbered = gr.number_words(kept), many <= gr.MAX_WORDS
+        # too many to ship: then all longer terms are counted, which costs less than joins of all occurrences
+        elif all_numbered and many <= BROADCAST_TERMS and (n - 1) * numbered.bits <= gr.CODE_BITS:
+            shorter = numbered.codes([r.term for r in kept.select("term").collect()])
+        longer = gr.gram_counts(words, n, n, numbered, all_numbered, shorter)
         found = cut_lineage(found.unionByName(longer))
     return found
 
