@@ -139,7 +139,8 @@ def gram_counts(words: DataFrame, low: int, high: int, numbered: Numbered, only:
                     yield from _batches(schema, topics.take(pa.array(topic[here])), pa.nulls(len(here), pa.int64()), term, pa.array(np.ones(len(here), np.int64)))
 
     counted = words.select("topic", "_words").mapInArrow(count, f"topic {topic_type}, code long, term string, n long")
-    summed = counted.groupBy("topic", "code", "term").agg(F.sum("n").alias("tf"))
+    # dealt as they are: most have one topic and come once, so sums before the shuffle would only fill the memory
+    summed = counted.repartition("code", "term").groupBy("topic", "code", "term").agg(F.sum("n").alias("tf"))
     if not numbered.words:
         return summed.select("topic", "term", "tf")
     # the words of a number, first to last; leading ones may be none
