@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,28 @@ def test_gram_tree(spark, monkeypatch, dense, longest):
     assert [r.language for r in found] == names
 
 
+@pytest.mark.parametrize("dense", [la.DENSE_KEYS, 0])
+@pytest.mark.parametrize("longest", [1, 3, 4])
+def test_char_gram_counts(spark, monkeypatch, dense, longest):
+    """Counts in batches equal those of the n-grams as rows."""
+    monkeypatch.setattr(la, "DENSE_KEYS", dense)
+    monkeypatch.setattr(la, "COUNT_CHARS", 60)
+    words = ["Rødgrød", "med fløde", "", "кот и пёс", "𐐀𐐁 b𐐀", "!?", "a", "ab", "漢字漢字", "fløde\0and", "x" * 200]
+    rows = [(lang, a + b) for lang in ("da", "en", "x") for a in words for b in words if lang != "en" or a < b]
+    table = spark.createDataFrame(rows, "lang string, text string").select("*", la.letters_only(F.col("text")).alias("letters"))
+    got = la.count_char_grams(table, longest).collect()
+    grams = la.with_char_grams(table, F.col("text"), longest).select("lang", F.explode("grams").alias("gram"))
+    want = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_language_learns_from_all_texts(spark):
+    """More texts than a sample had, each with a bigram of its own."""
+    made = pd.DataFrame({"lang": "x", "text": [chr(0x4E00 + i // 250) + chr(0x4E00 + i % 250) for i in range(60_000)]})
+    profiles = train_language_profiles(spark.createDataFrame(made))
+    assert sorted(profiles.vectorizer.vocabulary) == sorted({*made["text"], *"".join(made["text"])})
+
+
 def test_language_is_judged_before_cleaning(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     profiles = train_language_profiles(docs)

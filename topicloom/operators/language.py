@@ -1,6 +1,6 @@
 """Language detection: multinomial naive Bayes over character n-grams.
 
-Training is a distributed count per language.  Detection is a row map: the
+Training is a distributed count per language, over all labelled texts.  Detection is a row map: the
 profiles are an ML model that Spark ships to the executors, so a text never moves.
 There the n-grams are a tree of states, and no n-gram of a text is ever built as a string.
 """
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from topicloom.functions.fixed_values import ISO_639_3, UNKNOWN_LANGUAGE
 from topicloom.session import cut_lineage
 
-# Labelled texts to learn from, at most (about): the classifier is fitted on the driver, so its sample is bounded.
-MAX_TEXTS = 50_000
+# Characters whose n-grams are counted at a time; a longer text is counted alone.
+COUNT_CHARS = 1 << 21
 # Scores closer than this count as a tie.
 TIE = 1e-6
+# Entries of a table by key while n-grams are counted; more keys than this, or than characters, are sorted.
+DENSE_KEYS = 1 << 21
 # Entries of a step's table of (state, character); a larger step is searched in sorted keys.
 DENSE_STEPS = 1 << 23
 # Characters scored at a time; a longer text is scored alone.
@@ -57,21 +59,73 @@ def with_char_grams(df: DataFrame, text: Column, longest: int = 3) -> DataFrame:
     return df.withColumn("grams", F.filter(F.concat(*steps), lambda g: g.isNotNull())).drop(*steps)
 
 
-def train_language_profiles(
-    df: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, max_texts: int = MAX_TEXTS
-) -> LanguageProfiles:
-    """Count n-grams per language; add-one smoothed log-probabilities.
+def count_char_grams(df: DataFrame, longest: int = 3) -> DataFrame:
+    """lang, gram, n: the n-grams of ``with_char_grams`` in all texts of ``df`` (lang, letters), counted by batch."""
+    lang_type = df.schema["lang"].dataType.simpleString()
 
-    The classifier is fitted on about ``max_texts`` labelled texts, all if there are
-    no more, drawn by a hash of the text; all their n-grams are kept.
+    def count(batches):
+        for b in batches:
+            place, names = pd.factorize(b["lang"])
+            texts = b["letters"].tolist()
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            first = 0
+            while first < len(texts):
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + COUNT_CHARS, "right")))
+                lang, grams, n = grams_of(texts[first:last], place[first:last], longest)
+                yield pd.DataFrame({"lang": names.take(lang), "gram": grams, "n": n})
+                first = last
+
+    counted = df.select("lang", "letters").mapInPandas(count, f"lang {lang_type}, gram string, n long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def grams_of(texts: list[str], lang: np.ndarray, longest: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Language, n-gram and count of all n-grams of ``texts``; one that is in two languages comes twice.
+
+    An n-gram is the number of what comes before its last character, with its language, and that
+    character, so no n-gram is built as a string but the different ones.
+    """
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    points = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le"), dtype=np.uint32)
+    chars = np.flatnonzero(np.bincount(points))
+    codes = np.zeros(int(chars[-1]) + 1, dtype=np.int64)
+    codes[chars] = np.arange(len(chars))
+    codes, names = codes[points], [chr(c) for c in chars]
+    # places are those of last characters; character 0, which has code 0, parts texts
+    at = np.flatnonzero(codes)
+    state = np.repeat(lang.astype(np.int64), length + 1)[at]
+    owner, grams = np.arange(int(lang.max(initial=0)) + 1), [""] * (int(lang.max(initial=0)) + 1)
+    empty, times = np.unique(lang[length == 0], return_counts=True)
+    langs, found, n = [empty], [""] * len(empty), [times]
+    for _ in range(longest):
+        key = state * len(chars) + codes[at]
+        if len(grams) * len(chars) <= min(DENSE_KEYS, max(len(key), 1)):
+            count = np.bincount(key, minlength=1)
+            kept = np.flatnonzero(count)
+            number = np.zeros(len(count), dtype=np.int64)
+            number[kept] = np.arange(len(kept))
+            state, count = number[key], count[kept]
+        else:
+            kept, state, count = np.unique(key, return_inverse=True, return_counts=True)
+        before, last = np.divmod(kept, len(chars))
+        owner, grams = owner[before], [grams[i] + names[c] for i, c in zip(before.tolist(), last.tolist())]
+        langs.append(owner)
+        found.extend(grams)
+        n.append(count)
+        more = codes[at + 1] > 0
+        at, state = at[more] + 1, state[more]
+    return np.concatenate(langs), found, np.concatenate(n)
+
+
+def train_language_profiles(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3) -> LanguageProfiles:
+    """Count n-grams per language in all labelled texts; add-one smoothed log-probabilities.
+
+    What comes to the driver is the model, one number per language and different n-gram, whatever the number of texts.
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = max_texts / max(known.count(), max_texts)
-    known = known.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share * (1 << 20))
-    known = with_char_grams(known.select(F.col(lang).alias("lang"), F.col(text).alias("text")), F.col("text"), longest)
-    exploded = known.select("lang", F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull())
-    counts = cut_lineage(exploded.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
-    # the model itself: the n-grams of a bounded sample
+    counts = cut_lineage(count_char_grams(known.select(F.col(lang).alias("lang"), letters_only(F.col(text)).alias("letters")), longest))
+    # the model itself
     kept = counts.toPandas()
     if kept.empty:
         raise ValueError("no labelled text to learn languages from")
